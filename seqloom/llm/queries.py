@@ -6,6 +6,9 @@ import importlib
 
 #: Query name -> (module, function); a module also has SQL where SQL can express the query.
 _WHERE = {
+    "op2_pack_sequences": "packing",
+    "op4_media_columns": "media",
+    "op6_shard_documents": "sharding",
     "op10_mix_sources": "mixing",
 }
 
