@@ -9,6 +9,7 @@ _WHERE = {
     "op2_pack_sequences": "packing",
     "op4_media_columns": "media",
     "op6_shard_documents": "sharding",
+    "op7_language_id": "langid",
     "op10_mix_sources": "mixing",
 }
 
