@@ -7,6 +7,7 @@ import importlib
 #: Query name -> (module, function); a module also has SQL where SQL can express the query.
 _WHERE = {
     "op2_pack_sequences": "packing",
+    "op3_toxicity": "toxicity",
     "op4_media_columns": "media",
     "op6_shard_documents": "sharding",
     "op7_language_id": "langid",
