@@ -8,8 +8,11 @@ cases of this modulus do not show.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Seed of the random numbers that stand for bytes and positions.
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -20,6 +23,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of which prefix sums are taken at once.
+STEP = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -79,10 +84,18 @@ def words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of every word; with ``lower``, A to Z count as a to z."""
+    out, numbers, i = np.empty(len(starts), dtype=np.uint64), _LOWER if lower else _BYTES, 0
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_LOWER if lower else _BYTES)[data] * powers(_INVERSE, len(data))[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * powers(_BASE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * _BYTES[0])
+        while i < len(starts):
+            first = starts[i]
+            j = max(i + 1, int(np.searchsorted(ends, first + STEP, side="right")))
+            part = data[first : ends[j - 1]]
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(numbers[part] * powers(_INVERSE, len(part))[: len(part)], out=sums[1:])
+            at, to = starts[i:j] - first, ends[i:j] - first
+            out[i:j] = mix((sums[to] - sums[at]) * powers(_BASE, len(part) + 1)[at] + (to - at).astype(np.uint64) * _BYTES[0])
+            i = j
+    return out
 
 
 def hash_runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -95,3 +108,47 @@ def hash_runs(hashes: np.ndarray, width: int) -> np.ndarray:
         for i in range(width):
             out = out * np.uint64(_BASE) + hashes[i : i + n]
     return mix(out)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``most`` bytes of a string column; a longer row stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = at[i - 1] if i else 0
+            j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, before + most - size, side="right"))))
+            held.append(batch.slice(i, j - i))
+            size += int(at[j - 1] - before)
+            i = j
+            if size >= most or i < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def binary_column(parts: list[np.ndarray]) -> pa.Array:
+    """A column of the bytes of ``parts``."""
+    return pa.array([x.tobytes() for x in parts], pa.binary())
+
+
+def split_rows(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column: rows ``bounds[i]`` to ``bounds[i + 1]`` of a two-dimensional array as one value each."""
+    width = data.dtype.itemsize * data.shape[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]).cast(pa.binary())
+
+
+def blob(*arrays: np.ndarray) -> bytes:
+    """Arrays in one value: their lengths, then their bytes."""
+    return np.array([len(x) for x in arrays], dtype="<i8").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+
+
+def unblob(value: bytes, kinds: list[str]) -> list[np.ndarray]:
+    lengths = np.frombuffer(value, dtype="<i8", count=len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(lengths, kinds, strict=True):
+        out.append(np.frombuffer(value, dtype=kind, count=n, offset=at))
+        at += int(n) * np.dtype(kind).itemsize
+    return out

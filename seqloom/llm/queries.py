@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module, function); a module also has SQL where SQL can express the query.
 _WHERE = {
+    "op1_substring_dedup": "substring_dedup",
     "op2_pack_sequences": "packing",
     "op3_toxicity": "toxicity",
     "op4_media_columns": "media",
