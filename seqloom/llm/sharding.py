@@ -47,7 +47,7 @@ def _packer(keys: list[str], n_bins: int):
         cell = cell.sort_values(keys, kind="stable", ignore_index=True)
         bins = place(cell[MEASURES].to_numpy(dtype=np.float64), n_bins)
         at = cell["cell"].to_numpy(dtype=np.int64)
-        return cell[[*keys, *MEASURES]].assign(bundle=at * n_bins + bins)
+        return cell[[*keys, *MEASURES]].assign(placed_in=at * n_bins + bins)
 
     return pack
 
@@ -57,14 +57,15 @@ def assign(items: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
     n = items.count()
     cells = -(-n // CELL)
     fields = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, *MEASURES]) + ", bundle bigint"
+    schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, *MEASURES]) + ", placed_in bigint"
     if cells <= 1:
         one = items.withColumn("cell", F.lit(0)).groupBy("cell").applyInPandas(_packer(keys, n_shards), schema)
-        return one.select(*keys, F.col("bundle").cast("int").alias("shard"))
+        return one.select(*keys, F.col("placed_in").cast("int").alias("shard"))
     dealt = items.withColumn("cell", F.pmod(F.xxhash64(*keys), F.lit(cells)))
-    placed = cut(dealt.groupBy("cell").applyInPandas(_packer(keys, BUNDLES), schema))
-    bundles = cut(placed.groupBy("bundle").agg(*[F.sum(m).alias(m) for m in MEASURES]))
-    return placed.select(*keys, "bundle").join(assign(bundles, ["bundle"], n_shards), "bundle").select(*keys, "shard")
+    placed = cut(dealt.groupBy("cell").applyInPandas(_packer(keys, BUNDLES), schema).withColumnRenamed("placed_in", "into"))
+    bundles = cut(placed.groupBy(F.col("into").alias("bundle")).agg(*[F.sum(m).alias(m) for m in MEASURES]))
+    shards = assign(bundles, ["bundle"], n_shards).withColumnRenamed("bundle", "of")
+    return placed.join(shards, F.col("into") == F.col("of")).select(*keys, "shard")
 
 
 def shard(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
