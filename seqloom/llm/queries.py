@@ -12,6 +12,7 @@ _WHERE = {
     "op4_media_columns": "media",
     "op6_shard_documents": "sharding",
     "op7_language_id": "langid",
+    "op8_ngram_jaccard_join": "jaccard",
     "op10_mix_sources": "mixing",
 }
 
