@@ -10,6 +10,7 @@ _WHERE = {
     "op2_pack_sequences": "packing",
     "op3_toxicity": "toxicity",
     "op4_media_columns": "media",
+    "op5_nearest_neighbours": "ann",
     "op6_shard_documents": "sharding",
     "op7_language_id": "langid",
     "op8_ngram_jaccard_join": "jaccard",
