@@ -14,6 +14,7 @@ _WHERE = {
     "op6_shard_documents": "sharding",
     "op7_language_id": "langid",
     "op8_ngram_jaccard_join": "jaccard",
+    "op9_chat_formatting": "chat",
     "op10_mix_sources": "mixing",
 }
 

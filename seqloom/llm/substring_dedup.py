@@ -174,22 +174,30 @@ def factors(runs: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept_sha256, n_factors; with ``keep_text`` also the kept
-    text (unchanged if nothing goes) and the factors."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = duplicate_spans(docs, window=window).groupBy("doc_id", "tag").agg(F.collect_list("value").alias("runs"))
-    rows = docs.withColumn("tag", F.crc32(F.col("text").cast("binary"))).join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"]
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, n_factors int"
+    """One row a document: doc_id, n_words, n_removed, kept_sha256, n_factors.
+
+    With ``keep_text`` the columns of ``docs`` come first, the text being what is kept (unchanged if nothing
+    goes), and the factors come last.
+    """
+    out_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"]
+    found = duplicate_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window=window)
+    found = found.groupBy("doc_id", "tag").agg(F.collect_list("value").alias("__runs")).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    kept_columns = docs.columns if keep_text else []
+    if taken := {*kept_columns} & {*out_names[1:], "factors"}:
+        raise ValueError(f"columns that the result needs are taken: {sorted(taken)}")
+    own = docs.select(*kept_columns, F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
+    meets = (F.col("__own") == F.col("__id")) & (F.crc32(F.col("__text").cast("binary")) == F.col("__tag"))
+    rows = own.join(found, meets, "left").select(*kept_columns, "__own", "__text", "__runs")
+    schema = "n_words bigint, n_removed bigint, kept_sha256 string, n_factors int"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", pa.int64()), ("ref_start", pa.int64())]))
-    if keep_text:
-        names += ["kept_text", "factors"]
-        schema += ", kept_text string, factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>"
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] if keep_text else ["doc_id bigint"]
+    schema = ", ".join([*fields, schema]) + ", factors array<struct<start:bigint,length:bigint,ref_doc:bigint,ref_start:bigint>>" * keep_text
+    place, n_kept = (docs.columns.index(text_col) if keep_text else -1), len(kept_columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, n_factors, texts, parsed = [], [], [], [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
+            for text, runs in zip(batch.column(n_kept + 1), batch.column(n_kept + 2), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 found = factors(np.concatenate([np.frombuffer(x.as_buffer(), dtype="<i8") for x in runs.values]).reshape(-1, 4), window) if runs.is_valid else []
                 n, kept = len(words), words
@@ -206,10 +214,12 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
                 if keep_text:
                     texts.append(joined.decode() if found else text.as_py())
                     parsed.append([dict(zip(("start", "length", "ref_doc", "ref_start"), x, strict=True)) for x in found])
-            arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(n_factors, pa.int32())]
+            arrays = batch.columns[:n_kept] if keep_text else [batch.column(0)]
+            arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(n_factors, pa.int32())]
             if keep_text:
-                arrays += [pa.array(texts, pa.string()), pa.array(parsed, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                arrays[place] = pa.array(texts, pa.string())
+                arrays.append(pa.array(parsed, kind))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept_columns, *out_names[1:], "factors"] if keep_text else out_names)
 
     return rows.mapInArrow(keep, schema)
 

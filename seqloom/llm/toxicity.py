@@ -156,22 +156,24 @@ class Weights(dict):
         return x
 
 
-def score(docs: DataFrame, lift: np.ndarray, base: float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``."""
-    spark, schema = docs.sparkSession, docs.select(F.col(id_col), F.col(text_col)).withColumn("score", F.lit(0.0)).schema
-    sent = spark.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
+def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text in ``score_col``."""
+    if score_col in docs.columns:
+        raise ValueError(f"there is a column {score_col} already; give score_col another name")
+    at, names = docs.columns.index(text_col), [*docs.columns, score_col]
+    sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Weights(sent.value)
         look = known.__getitem__
         for batch in batches:
             logits = np.full(batch.num_rows, base)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(at)):
                 if text.is_valid and (words := text.as_buffer().to_pybytes().split()):
                     logits[i] += sum(map(look, words)) / (len(words) + PADDING)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
 
 
 def sample(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
@@ -192,6 +194,6 @@ def trained(spark, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, floa
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: a score for every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score(docs, *trained(spark, docs, labels))
+    scored = score(docs.select("doc_id", "text"), *trained(spark, docs, labels))
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
