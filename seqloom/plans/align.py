@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import encode
+from ..functions.storage import cut
 from ..operators import chaining, emit, hits, mapping, pairing, refindex, seeding
 from ..options import Options
 
@@ -41,15 +43,15 @@ class Index:
 def build_index(seqs: DataFrame, kmer: int = 14, alt: DataFrame | None = None) -> Index:
     """``seqs(rid, name, seq)`` -> an index of both strands."""
     table = refindex.contigs(seqs)
-    table = refindex.mark_alt(table, alt) if alt is not None else table.withColumn("is_alt", F.lit(False))
-    chunks = refindex.ref_chunks(seqs, kmer)
+    table = cut(refindex.mark_alt(table, alt) if alt is not None else table.withColumn("is_alt", F.lit(False)))
+    chunks = cut(refindex.ref_chunks(seqs, kmer))
     total = table.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first()["n"]
     return Index(table, chunks, refindex.kmer_positions(chunks, kmer), total, kmer)
 
 
 def smem_seeds(reads: DataFrame, matches: DataFrame, o: Options) -> DataFrame:
     """Seeds of three rounds: super-maximal matches, rarer ones through the middles of long ones, and short rare ones."""
-    first = seeding.occurrences(seeding.smems(matches, min_len=o.min_seed_len), matches)
+    first = cut(seeding.occurrences(seeding.smems(matches, min_len=o.min_seed_len), matches))
     points = seeding.reseed_points(first, min_seed_len=o.min_seed_len, split_factor=o.split_factor, split_width=o.split_width)
     second = seeding.occurrences(seeding.smems(matches, min_len=o.min_seed_len, through=points), matches)
     out = first.unionByName(second)
@@ -65,18 +67,21 @@ def pivot_seeds(reads: DataFrame, index: Index, o: Options) -> tuple[DataFrame,
     places take the walk's place for that.
     """
     k = index.kmer
-    strands = seeding.choose_strand(reads, index.positions.groupBy("kmer").agg(F.count("*").alias("occ")), k) if o.choose_strand else reads.select("read_id", F.lit(0).alias("strand"))
-    turned = seeding.oriented(reads, strands)
-    matches = seeding.maximal_matches(turned, index.positions, k)
-    table = seeding.pivots(matches, k)
-    walked = seeding.walk(turned, table, k=k, step=o.step, min_len=o.min_seed_len, cap=o.seed_cap)
+    # Only the k-mers at reads' ends are counted.
+    ends = reads.where(F.length("seq") >= k).select(F.explode(F.array(F.substr("seq", F.length("seq") - (k - 1), F.lit(k)), F.substr(encode.revcomp(F.col("seq")), F.length("seq") - (k - 1), F.lit(k)))).alias("kmer")).distinct()
+    strands = seeding.choose_strand(reads, index.positions.join(ends, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("occ")), k) if o.choose_strand else reads.select("read_id", F.lit(0).alias("strand"))
+    strands = cut(strands)
+    turned = cut(seeding.oriented(reads, strands))
+    matches = cut(seeding.maximal_matches(turned, index.positions, k))
+    table = cut(seeding.pivots(matches, k))
+    walked = cut(seeding.walk(turned, table, k=k, step=o.step, min_len=o.min_seed_len, cap=o.seed_cap))
     short = {"k": k, "step": o.step, "min_len": o.min_seed_len + 1, "limit": o.max_mem_intv}
     if o.use_fixed_pivots:
         more = seeding.fixed_pivots(turned, table, n=o.fixed_pivots, **short)
         return walked.unionByName(more.select("read_id", "qbeg", "len", "occ")), matches, turned
-    open_ = seeding.gaps(turned, walked, o.min_gap)
+    open_ = cut(seeding.gaps(turned, walked, o.min_gap))
     fill = {**short, "gap_step": o.gap_step, "early_exit": o.gap_early_exit}
-    filled = seeding.fill_gaps(open_, table, **fill)
+    filled = cut(seeding.fill_gaps(open_, table, **fill))
     covered = filled.where("qbeg <= gap_start AND qbeg + len - 1 >= gap_end").select("read_id", "gap_start", "gap_end").distinct()
     again = open_ if o.both_strands else open_.join(covered, ["read_id", "gap_start", "gap_end"], "left_anti")
     # The other strand: the reference holds both, so its pivots are those of the reverse complement of the turned read.
@@ -99,12 +104,12 @@ def regions(reads: DataFrame, index: Index, o: Options, seeder: str = "pivot") -
         places = hits.expand(seeds, matches, o.max_occ).join(flip, "read_id").join(index.contigs.select("rid", F.col("len").alias("size")), "rid")
         places = places.select("read_id", F.when(F.col("turned") == 1, F.col("n") - F.col("qbeg") - F.col("len")).otherwise(F.col("qbeg")).cast("int").alias("qbeg"), "len", "occ", "rid", F.col("strand").bitwiseXOR(F.col("turned")).alias("strand"), F.when(F.col("turned") == 1, F.col("size") - F.col("pos") - F.col("len")).otherwise(F.col("pos")).alias("pos"))
     elif seeder == "smem":
-        matches = seeding.maximal_matches(reads, index.positions, index.kmer)
+        matches = cut(seeding.maximal_matches(reads, index.positions, index.kmer))
         places = hits.expand(smem_seeds(reads, matches, o), matches, o.max_occ)
     else:
         raise ValueError(f"there is no seeder {seeder}")
-    full = hits.doubled(places, index.contigs, index.total, reads)
-    chains = chaining.chains_of_reads(full, o)
+    full = hits.doubled(cut(places), index.contigs, index.total, reads)
+    chains = cut(chaining.chains_of_reads(full, o))
     wanted = chains.select("read_id", "chain_no", "rid", "strand", "size", (F.col("win_beg") - F.col("base")).alias("beg"), (F.col("win_end") - F.col("base")).alias("end"))
     text = hits.windows(wanted, index.chunks).select("read_id", "chain_no", "target")
     return mapping.regions_of_reads(chains.join(text, ["read_id", "chain_no"]), reads, o)
@@ -113,7 +118,7 @@ def regions(reads: DataFrame, index: Index, o: Options, seeder: str = "pivot") -
 def align(reads: DataFrame, index: Index, o: Options | None = None, seeder: str = "pivot") -> DataFrame:
     """Records of ``reads(read_id, seq)``; reads that fit nowhere have none."""
     o = o or Options()
-    return mapping.single_end(regions(reads, index, o, seeder), reads, o)
+    return mapping.single_end(cut(regions(reads, index, o, seeder)), reads, o)
 
 
 def align_pairs(mates: DataFrame, index: Index, o: Options | None = None, seeder: str = "pivot", model: list[dict] | None = None) -> DataFrame:
@@ -122,14 +127,15 @@ def align_pairs(mates: DataFrame, index: Index, o: Options | None = None, seeder
     names = mates.groupBy("pair_id").agg(F.count_distinct("name").alias("n"))
     ok = F.when(F.col("n") > 1, F.raise_error(F.lit("the reads of a pair have different names"))).otherwise(F.lit(True))
     mates = mates.join(names.where(ok).select("pair_id"), "pair_id").withColumn("read_id", 2 * F.col("pair_id") + F.col("mate"))
+    mates = cut(mates)
     found = regions(mates.select("read_id", "seq"), index, o, seeder)
-    found = found.withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2).cast("int")).drop("read_id")
+    found = cut(found).withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2).cast("int")).drop("read_id")
     model = model or pairing.stats_list(pairing.insert_stats(pairing.insert_sizes(found, index.total, o)))
     if o.rescue:
         lengths = mates.select("pair_id", "mate", F.length("seq").alias("n"))
         windows = pairing.rescue_windows(found, lengths, model, index.total, o)
         found = found.unionByName(pairing.rescue(hits.windows(windows, index.chunks), mates, o))
-    return pairing.with_mates(pairing.paired_end(found, mates, model, index.total, o), mates)
+    return pairing.with_mates(cut(pairing.paired_end(found, mates, model, index.total, o)), mates)
 
 
 def sam(records: DataFrame, reads: DataFrame, index: Index, o: Options | None = None) -> DataFrame:

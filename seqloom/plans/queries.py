@@ -220,7 +220,8 @@ def _sides(spark, d):
     t = _table(spark, d, "lineitem")
     part, qty = F.col("l_partkey"), F.col("l_quantity").cast("int")
     common = dict(
-        qname=F.col("l_orderkey").cast("string"), is_read1=F.col("l_linenumber") % 2 == 1, is_secondary=F.col("l_linenumber") > 4, is_supplementary=F.lit(False), ord=F.col("l_linenumber"),
+        qname=F.col("l_orderkey").cast("string"), is_read1=F.col("l_linenumber") % 2 == 1, is_secondary=F.col("l_linenumber") > 4, is_supplementary=F.lit(False),
+        ord=((F.col("l_linenumber") * 1_000_000 + part) * 10_000 + F.col("l_suppkey")) * 100 + qty,
         is_reverse=part % 2 == 0, qlen=F.lit(100), cigar=F.array(F.struct(qty.alias("len"), F.lit("M").alias("op")), F.struct(F.col("l_linenumber").alias("len"), F.lit("I").alias("op"))),
     )
     a = t.where("l_orderkey % 19 <> 0").select(*[c.alias(n) for n, c in common.items()], (part % 11 == 0).alias("is_unmapped"), F.concat(F.lit("c"), (F.col("l_suppkey") % 5).cast("string")).alias("rname"), (part * 37).alias("pos"), F.when(part % 3 == 0, qty % 7).alias("nm"))
@@ -313,9 +314,9 @@ _SMEM = """st AS (SELECT read_id, t.m::INT AS m, (qbeg + len - 1) AS fin FROM m,
  re AS (SELECT read_id, m, max(fin) AS fin FROM st GROUP BY read_id, m),
  sm AS (SELECT read_id, m AS qbeg, (fin - m + 1)::INT AS len FROM (SELECT *, max(fin) OVER (PARTITION BY read_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM re) WHERE (before IS NULL OR fin > before) AND fin - m + 1 >= 19)"""
 _OCC = "SELECT z.read_id, z.qbeg, z.len, count(*) AS occ FROM {0} z JOIN m ON m.read_id = z.read_id AND m.qbeg <= z.qbeg AND m.qbeg + m.len >= z.qbeg + z.len GROUP BY 1, 2, 3"
-_SIDES = """t AS (SELECT l_orderkey::VARCHAR AS qname, l_linenumber % 2 = 1 AS is_read1, l_linenumber AS ord, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS qty, l_orderkey AS o FROM lineitem WHERE l_linenumber <= 4),
- ta AS (SELECT qname, is_read1, max_by({unm: p % 11 = 0, rev: p % 2 = 0, rname: 'c' || (s % 5), pos: p * 37, nm: CASE WHEN p % 3 = 0 THEN qty % 7 ELSE ord END}, ord) AS a FROM t WHERE o % 19 <> 0 GROUP BY 1, 2),
- tb AS (SELECT qname, is_read1, max_by({unm: p % 13 = 0, rev: p % 2 = 0, rname: 'c' || (s % CASE WHEN p % 8 = 0 THEN 4 ELSE 5 END), pos: p * 37 + CASE p % 6 WHEN 0 THEN 3 WHEN 1 THEN 30 WHEN 2 THEN 300 ELSE 0 END, nm: CASE WHEN p % 5 = 0 THEN qty % 23 ELSE ord END}, ord) AS b FROM t WHERE o % 17 <> 0 GROUP BY 1, 2),
+_SIDES = """t AS (SELECT l_orderkey::VARCHAR AS qname, l_linenumber % 2 = 1 AS is_read1, ((l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey) * 100 + l_quantity::INT AS ord, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, l_quantity::INT AS qty, l_orderkey AS o FROM lineitem WHERE l_linenumber <= 4),
+ ta AS (SELECT qname, is_read1, max_by({unm: p % 11 = 0, rev: p % 2 = 0, rname: 'c' || (s % 5), pos: p * 37, nm: CASE WHEN p % 3 = 0 THEN qty % 7 ELSE ln END}, ord) AS a FROM t WHERE o % 19 <> 0 GROUP BY 1, 2),
+ tb AS (SELECT qname, is_read1, max_by({unm: p % 13 = 0, rev: p % 2 = 0, rname: 'c' || (s % CASE WHEN p % 8 = 0 THEN 4 ELSE 5 END), pos: p * 37 + CASE p % 6 WHEN 0 THEN 3 WHEN 1 THEN 30 WHEN 2 THEN 300 ELSE 0 END, nm: CASE WHEN p % 5 = 0 THEN qty % 23 ELSE ln END}, ord) AS b FROM t WHERE o % 17 <> 0 GROUP BY 1, 2),
  j AS (SELECT coalesce(ta.qname, tb.qname) AS qname, coalesce(ta.is_read1, tb.is_read1) AS is_read1, coalesce(NOT a.unm, false) AS am, coalesce(NOT b.unm, false) AS bm,
   coalesce(a.rev = b.rev AND a.rname = b.rname, false) AS same, abs(a.pos - b.pos) AS off, a.nm AS ea, b.nm AS eb FROM ta FULL JOIN tb ON ta.qname = tb.qname AND ta.is_read1 = tb.is_read1),
  v AS (SELECT *, CASE WHEN NOT am AND NOT bm THEN 'TN' WHEN am AND NOT bm THEN 'FN' WHEN NOT am THEN 'FP' WHEN same AND off <= 50 THEN 'TP' ELSE 'FP' END AS v50, CASE WHEN NOT am AND NOT bm THEN 'TN' WHEN am AND NOT bm THEN 'FN' WHEN NOT am THEN 'FP' WHEN same AND off <= 5 THEN 'TP' ELSE 'FP' END AS v5 FROM j)"""
@@ -350,9 +351,9 @@ SQL = {
     "seed_rule_c2": f"{_LCE}, {_RULE_C.replace('STEP', '2')} SELECT * FROM c",
     "fixed_pivots": f"{_LCE}, {_RULE_C.replace('STEP', '1')}, f AS (SELECT DISTINCT read_id, (length(seq) - 1 - i * (length(seq) // 3))::INT AS e FROM r, range(0, 3) t(i) WHERE length(seq) >= 3) SELECT read_id, e, e - len + 1 AS qbeg, len, occ FROM f JOIN c USING (read_id, e) WHERE len >= 20 AND occ < 20",
     "coverage_gaps": f"""{_MEMS}, d AS (SELECT DISTINCT read_id, qbeg, qbeg + len - 1 AS qend FROM m WHERE len >= 19),
- g AS (SELECT read_id, coalesce(lag(qend) OVER (PARTITION BY read_id ORDER BY qbeg, qend), -1) + 1 AS gap_start, qbeg - 1 AS gap_end FROM d
+ gp AS (SELECT read_id, coalesce(lag(qend) OVER (PARTITION BY read_id ORDER BY qbeg, qend), -1) + 1 AS gap_start, qbeg - 1 AS gap_end FROM d
   UNION ALL SELECT r.read_id, coalesce((SELECT max_by(qend, qbeg * 100000 + qend) FROM d WHERE d.read_id = r.read_id), -1) + 1, length(seq)::INT - 1 FROM r)
- SELECT * FROM g WHERE gap_end - gap_start + 1 >= 5""",
+ SELECT * FROM gp WHERE gap_end - gap_start + 1 >= 5""",
     "smems": f"{_MEMS}, {_SMEM} {_OCC.format('sm')}",
     "reseeds": f"""{_MEMS}, {_SMEM}, oc AS ({_OCC.format('sm')}), pt AS (SELECT DISTINCT read_id, (2 * qbeg + len) // 2 AS x, occ AS s FROM oc WHERE len >= 28 AND occ <= 10),
  s2 AS (SELECT m.read_id, x, s, t.m::INT AS m, qbeg + len - 1 AS fin FROM m JOIN pt ON pt.read_id = m.read_id AND x >= qbeg AND x <= qbeg + len - 1, range(qbeg, x + 1) t(m)),
