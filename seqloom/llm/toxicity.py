@@ -18,8 +18,10 @@ kept and never train; an empty table gives none.
 
 from __future__ import annotations
 
-import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, table
 
 #: Labelled rows of each class that are fitted on, at most.
-SAMPLE = {1: 2500, 0: 4500}
+SAMPLE = {1: 2000, 0: 3000}
 BUCKETS, DIMENSIONS = 1 << 20, 8
 #: Lengths of character n-grams, counted with the marks at a word's ends.
-GRAMS = (4, 5, 6)
+GRAMS = (4, 6)
 EPOCHS, BATCH, RATE = 6, 64, 0.25
 #: A bucket counts if this share of the fitted rows has it, three at least; rarer ones only tell rows apart.
 COMMON = 0.005
@@ -43,38 +45,46 @@ PADDING = 20
 REMEMBERED = 400_000
 
 
+#: A to Z in lower case; ASCII marks separate words as white space does.
+_PLAIN = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def split(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text, as they are scored."""
+    return text.translate(_PLAIN).split()
+
+
 def buckets(word: bytes) -> list[int]:
-    """The buckets of a word: its own and those of its n-grams, in lower case."""
-    text = "<" + word.decode("utf-8", "replace").lower() + ">"
+    """The buckets of a word: its own and those of its n-grams of UTF-8 bytes."""
+    text = b"<" + word + b">"
     parts = {text}
     for n in GRAMS:
-        parts.update(text[i : i + n] for i in range(len(text) - n + 1))
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for x in parts]
+        parts.update([text[i : i + n] for i in range(len(text) - n + 1)])
+    return [crc32(x) & (BUCKETS - 1) for x in parts]
 
 
 class Bags:
     """Texts as sparse rows: a bucket's share in the mean of a text's words."""
 
     def __init__(self):
-        self.words: dict[bytes, np.ndarray] = {}
+        self.words: dict[bytes, list[int]] = {}
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        from collections import Counter
-
-        counts = Counter(text.encode("utf-8", "surrogatepass").split())
+        counts = Counter(split(text.encode("utf-8", "surrogatepass")))
         if not counts:
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        ids, shares, n = [], [], sum(counts.values())
-        for word, k in counts.items():
+        ids, sizes, total = [], [], counts.total() + PADDING
+        for word in counts:
             at = self.words.get(word)
             if at is None:
-                at = self.words[word] = np.array(buckets(word), dtype=np.int32)
-            ids.append(at)
-            shares.append(np.full(len(at), k / ((n + PADDING) * len(at)), dtype=np.float32))
-        ids, which = np.unique(np.concatenate(ids), return_inverse=True)
-        return ids, np.bincount(which, weights=np.concatenate(shares)).astype(np.float32)
+                at = self.words[word] = buckets(word)
+            ids += at
+            sizes.append(len(at))
+        share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / total / np.array(sizes)
+        ids, which = np.unique(np.array(ids, dtype=np.int32), return_inverse=True)
+        return ids, np.bincount(which, weights=np.repeat(share, sizes)).astype(np.float32)
 
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,17 +155,29 @@ class Weights(dict):
 
     def __init__(self, lift: np.ndarray):
         super().__init__()
-        self.lift = lift
+        self.lift = array("f", lift.tobytes()).__getitem__
 
     def __missing__(self, word: bytes) -> float:
         at = buckets(word)
-        x = float(self.lift[at].mean())
+        x = sum(map(self.lift, at)) / len(at)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = x
         return x
 
 
+_known: tuple[int, Weights] | None = None
+
+
+def weights(lift: np.ndarray) -> Weights:
+    """The worker's memory of a model's words."""
+    global _known
+    key = crc32(lift.tobytes())
+    if _known is None or _known[0] != key:
+        _known = (key, Weights(lift))
+    return _known[1]
+
+
 def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in ``score_col``."""
     if score_col in docs.columns:
@@ -164,12 +186,11 @@ def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Weights(sent.value)
-        look = known.__getitem__
+        look = weights(sent.value).__getitem__
         for batch in batches:
             logits = np.full(batch.num_rows, base)
             for i, text in enumerate(batch.column(at)):
-                if text.is_valid and (words := text.as_buffer().to_pybytes().split()):
+                if text.is_valid and (words := split(text.as_buffer().to_pybytes())):
                     logits[i] += sum(map(look, words)) / (len(words) + PADDING)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=names)
 
