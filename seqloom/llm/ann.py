@@ -53,7 +53,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries:
             out_ids[active[over], :w], out_far[active[over], :w] = ids[over], far[over]
             ids, far, done, active = ids[~over], far[~over], done[~over], active[~over]
             if not len(active):
-                return out_ids, out_far
+                return np.where(np.isinf(out_far), -1, out_ids), out_far
         at = np.argsort(done, axis=1, kind="stable")[:, :EXPAND]  # the nearest that aren't expanded come first
         r = row[: len(ids)]
         fresh = ~done[r, at]
