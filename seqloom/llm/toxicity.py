@@ -36,7 +36,8 @@ SAMPLE = {1: 2000, 0: 3000}
 BUCKETS, DIMENSIONS = 1 << 20, 8
 #: Lengths of character n-grams, counted with the marks at a word's ends.
 GRAMS = (4, 6)
-EPOCHS, BATCH, RATE = 6, 64, 0.25
+#: Passes over the sample, and updates at least; rows of an update, and the rate.
+EPOCHS, UPDATES, BATCH, RATE = 6, 400, 64, 0.25
 #: A bucket counts if this share of the fitted rows has it, three at least; rarer ones only tell rows apart.
 COMMON = 0.005
 #: Words of no meaning that every text's mean holds besides its own, lest a few words decide alone.
@@ -101,8 +102,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     soft = rng.normal(size=(DIMENSIONS, 2)) / 2
     bias = np.log(np.array([max(weights[labels == c].sum(), 1e-9) for c in (0, 1)]) / weights.sum())
     emb_sq, soft_sq = np.full((len(emb), 1), 1e-6, dtype=np.float32), np.full((DIMENSIONS, 2), 1e-6)
-    for _ in range(EPOCHS):
-        for at in np.array_split(rng.permutation(len(bags)), -(-len(bags) // BATCH)):
+    batches = -(-len(bags) // BATCH)
+    for _ in range(max(EPOCHS, -(-UPDATES // batches))):
+        for at in np.array_split(rng.permutation(len(bags)), batches):
             ids = np.concatenate([bags[i][0] for i in at])
             if not len(ids):
                 continue
