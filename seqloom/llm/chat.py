@@ -9,7 +9,7 @@ points back, and a line that a third of all messages have leads to one message,
 
 A message replies to the one of which it quotes most words at the lowest level. Chains of replies
 are followed by doubling up to their first message, in whose conversation they stand: by its turn, then
-by depth, then by their own turn. Places are counted in blocks of turns, so that a conversation of any length
+by depth, then by their own conv_id and turn. Places are counted in blocks of turns, so that a conversation of any length
 is never in one task.
 
 Defined results: null text has no units and stays null; a text of quotes alone becomes empty; a null
@@ -147,7 +147,7 @@ def format_chats(messages: DataFrame) -> DataFrame:
     counts = placed.groupBy("conversation_id", "block").agg(F.count("*").alias("n"))
     upto = W.partitionBy("conversation_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select(F.col("conversation_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    inside = W.partitionBy("conversation_id", "block").orderBy(F.col("root_turn").asc_nulls_last(), "depth", F.col("turn").asc_nulls_last(), "conv_id", "role", "own")
+    inside = W.partitionBy("conversation_id", "block").orderBy(F.col("root_turn").asc_nulls_last(), "depth", F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own")
     numbered = placed.withColumn("nth", F.row_number().over(inside) - 1).join(counts, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
     return numbered.select(
         "conv_id", "turn", "role", "conversation_id", (F.col("start") + F.col("nth")).cast("long").alias("place"), "depth",

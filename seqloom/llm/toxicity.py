@@ -149,6 +149,8 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col("weight").cast("double"))
     out = rows.repartition(1).sortWithinPartitions("id", "text").mapInPandas(run, "lift binary, base double").collect()
+    if not out:  # no rows, so no task
+        return np.zeros(BUCKETS, dtype="<f4"), -40.0
     return np.frombuffer(bytes(out[0]["lift"]), dtype="<f4"), out[0]["base"]
 
 
