@@ -38,7 +38,7 @@ from .common import partitions, table
 
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text that a task works on at once.
-CHUNK = 12_000_000
+CHUNK = 4_000_000
 _KINDS = ["<u8", "<u4", "<u4", "u1", "u1", "<u4", "<i8", "<u4"]
 
 
@@ -109,7 +109,7 @@ def spans(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, ref: np.ndarray,
 
 def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text) -> (doc_id, tag, value): packed runs of windows that a smaller document has."""
-    parts = 2 * partitions(docs.sparkSession)
+    parts = 4 * partitions(docs.sparkSession)  # small groups: a task holds one at a time, in the JVM and in Python
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in B.chunks(batches, 1, CHUNK):
