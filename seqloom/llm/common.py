@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are kept elsewhere: it does so once the driver's
+    garbage collection has found that nothing refers to them, which a driver with memory to spare puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(col: str, n: int) -> Column:
     """CRC-32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

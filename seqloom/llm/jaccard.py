@@ -14,9 +14,9 @@ squared frequencies of each segment's subsets), plus the index entries they need
 of a passage shared by many documents is used last, after the neighbourhoods of quiet segments.
 
 Equal sets are one node. Index blocks, dealt by hash, give lists of nodes with a common entry. In each list
-the first node is compared with all others; what is verified joins components. Lists that then still hold
-several components are compared across these, all pairs, less those that a count sketch of the sets
-rules out for certain. So no link between components is lost, and large groups of near copies are never
+a leading node is compared with all others; what is verified joins components. Lists that then still hold
+several components are compared across these, all pairs, less those that count sketches of the sets
+rule out for certain. So no link between components is lost, and large groups of near copies are never
 paired off. Pairs are verified on whole texts, read again; shingles compare by 64-bit hashes.
 
 Defined results: null, empty and wordless texts have empty sets, and reach only themselves; rows with a
@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import cut, partitions, table
+from .common import cut, partitions, release, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
+#: Rounds in which lists are compared with one leader, before all of what is left is.
+STARS = 2
 CHUNK = 8_000_000
-#: Counters of the sketch that measures a segment's cost, and of the one that rules pairs out.
-SLOTS, SKETCH = 16, 64
+#: Counters of the sketch that measures a segment's cost.
+SLOTS = 16
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -82,9 +84,14 @@ class Sets:
             out = B.mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.sizes.astype(np.uint64) * _SALT)
         return np.where(self.sizes > 0, out, 0).astype(np.uint64).view(np.int64)
 
-    def sketches(self) -> np.ndarray:
-        counts = np.bincount(self.rows() * SKETCH + (self.shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=len(self.sizes) * SKETCH)
-        return np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH)
+    def sketches(self) -> pa.Array:
+        """Counts of the shingles in as many slots as a set's size has halves to a whole of: one byte each, 255 at most."""
+        slots = np.where(self.sizes > 0, 1 << np.maximum(band_of(np.maximum(self.sizes, 1)), 0), 0)
+        begin = np.concatenate([[0], np.cumsum(slots)])
+        row = self.rows()
+        at = begin[:-1][row] + (self.shingles & (slots[row] - 1).astype(np.uint64)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=begin[-1]), 255).astype(np.uint8)
+        return pa.Array.from_buffers(pa.large_binary(), len(slots), [None, pa.py_buffer(begin.astype(np.int64).tobytes()), pa.py_buffer(counts.tobytes())]).cast(pa.binary())
 
     def take(self, rows: np.ndarray) -> Sets:
         sizes = self.sizes[rows]
@@ -230,7 +237,7 @@ def profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for batch in B.chunks(batches, 1, CHUNK):
             sets = shingle_sets(batch.column(1), width)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int8)), batch.column(0), pa.array(sets.sizes), pa.array(sets.nodes()), B.split_rows(sets.sketches(), np.arange(n + 1))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int8)), batch.column(0), pa.array(sets.sizes), pa.array(sets.nodes()), sets.sketches()], names=names)
             new_keys, new_counts = costs(sets.take(np.unique(sets.nodes(), return_index=True)[1]), percent)
             keys, which = np.unique(np.concatenate([keys, new_keys]), return_inverse=True)
             counts = np.bincount(which, weights=np.concatenate([counts, new_counts]), minlength=len(keys)).astype(np.int64)
@@ -308,14 +315,15 @@ def lists(docs: DataFrame, order: dict[int, np.ndarray], percent: int, width: in
     return found.groupBy("list_id").agg(F.first("nodes").alias("nodes"))
 
 
-def _possible(n_u, n_v, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes and sketches may be similar: their sketches differ by no more than they may."""
-    fits = 100 * np.minimum(n_u, n_v) >= percent * np.maximum(n_u, n_v)
-    return fits & (np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=-1) * (100 + percent) <= (100 - percent) * (n_u + n_v))
+def _folded(sketch: bytes, slots: int) -> np.ndarray:
+    """A sketch with fewer slots, as if it had been made so."""
+    return np.minimum(np.frombuffer(sketch, dtype=np.uint8).reshape(-1, slots).sum(axis=0, dtype=np.int64), 255).astype(np.int16)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), dtype=np.uint8).reshape(-1, SKETCH)
+def _differ(n_u, n_v, x: np.ndarray, y: np.ndarray, percent: int):
+    """Whether sketches differ by more than similar sets of these sizes could, or their sizes do."""
+    apart = np.abs(x - y).sum(axis=-1, dtype=np.int64) * (100 + percent) > (100 - percent) * (n_u + n_v)
+    return apart | (100 * np.minimum(n_u, n_v) < percent * np.maximum(n_u, n_v))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
@@ -324,9 +332,11 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, wi
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n_u, n_v = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
-                ok = _possible(n_u, n_v, _matrix(batch.column("x")), _matrix(batch.column("y")), percent)
-                yield batch.filter(pa.array(ok)).select(["u", "v", "a", "b"])
+                ok = []
+                for n_u, n_v, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "x", "y")), strict=True):
+                    slots = min(len(x), len(y))
+                    ok.append(not _differ(n_u, n_v, _folded(x, slots), _folded(y, slots), percent))
+                yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v", "a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -356,11 +366,13 @@ def across(unsettled: DataFrame, percent: int) -> DataFrame:
 
     def pair(block: pa.Table) -> pa.Table:
         node, n, component = (block.column(c).to_numpy() for c in ("node", "n", "component"))
-        sketch = _matrix(block.column("sketch").combine_chunks())
+        raw = block.column("sketch").to_pylist()
+        slots = min(map(len, raw))
+        sketch = np.stack([_folded(x, slots) for x in raw])
         us, vs = [], []
         for i in range(len(node) - 1):
-            ok = (component[i + 1 :] != component[i]) & _possible(n[i], n[i + 1 :], sketch[i], sketch[i + 1 :], percent)
-            vs.append(node[i + 1 :][ok])
+            other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+            vs.append(node[other[~_differ(n[i], n[other], sketch[i], sketch[other], percent)]])
             us.append(np.full(len(vs[-1]), node[i]))
         u, v = np.concatenate(us), np.concatenate(vs)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
@@ -368,6 +380,28 @@ def across(unsettled: DataFrame, percent: int) -> DataFrame:
     return unsettled.groupBy("list_id").applyInArrow(pair, "u bigint, v bigint").distinct()
 
 
+def led(members: DataFrame) -> DataFrame:
+    """(list_id, node, lists, component) -> pairs (u, v): the leader of each list, and each member of another component.
+
+    The leader is the member of most lists outside the component that has most of them, or of all if
+    each is a component of its own, so that every round has another one.
+    """
+    sizes = members.groupBy("list_id", "component").agg(F.count("*").alias("size"), F.max(F.struct("lists", "node")).alias("first"))
+    largest_ = sizes.groupBy("list_id").agg(F.max(F.struct("size", "component")).alias("top"))
+    outside = sizes.join(largest_, "list_id").where((F.col("component") != F.col("top.component")) | (F.col("top.size") == 1))
+    leaders = outside.groupBy("list_id").agg(F.max(F.struct(F.col("first.lists"), F.col("first.node"), F.col("component"))).alias("lead"))
+    led_ = members.join(leaders, "list_id").where(F.col("component") != F.col("lead.component"))
+    return led_.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+
+
+def settled(links: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with their components by ``links``, and the lists that still hold several."""
+    found = cut(components(links.select("a", "b")))
+    labels = cut(nodes.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("node", "rep", "n", "sketch", "component"))
+    inside = members.select("list_id", "node").join(labels.select("node", "component"), "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return labels, cut(inside.where("low <> high").select("list_id"))
+
+
 def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     if not 50 <= percent <= 100:
@@ -377,19 +411,24 @@ def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_co
     rows = profile.where("what = 0")
     nodes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     shared = cut(lists(docs, measure(profile, percent), percent, width))
-    star = shared.select(F.col("nodes")[0].alias("u"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("v")).distinct()
-    links = cut(verify(star, nodes, docs, percent, width))
-    found = cut(components(links))
-    # Lists that the first comparisons left with nodes of several components.
-    labelled = nodes.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labels = cut(labelled.select("node", "rep", "n", "sketch", "component"))
+    # A node that stands in many lists is near to many: it leads its lists, and the first comparisons are with leaders.
     members = shared.select("list_id", F.explode("nodes").alias("node"))
-    open_lists = members.join(labels.select("node", "component"), "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list_id")
+    members = cut(members.join(members.groupBy("node").agg(F.count("*").alias("lists")), "node"))
+    release(docs.sparkSession)
+    links, labels, open_lists = None, nodes.withColumn("component", F.col("rep")), None
+    for _ in range(STARS):
+        rows_ = members if open_lists is None else members.join(open_lists, "list_id")
+        pairs = led(rows_.join(labels.select("node", "component"), "node") if open_lists is not None else rows_.withColumn("component", F.col("node")))
+        new = cut(verify(pairs, nodes, docs, percent, width))
+        release(docs.sparkSession)
+        links = new if links is None else links.unionByName(new)
+        labels, open_lists = settled(links, nodes, members)
+    # Lists that the leaders left with nodes of several components.
     unsettled = members.join(open_lists, "list_id").join(labels, "node").select("list_id", "node", "n", "sketch", "component")
     more = cut(verify(across(unsettled, percent), nodes, docs, percent, width))
+    release(docs.sparkSession)
     if more.limit(1).count():
-        found = cut(components(links.select("a", "b").unionByName(more.select("a", "b"))))
-        labels = nodes.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        labels, _ = settled(links.unionByName(more), nodes, members)
     known = labels.select("node", "component")
     linked = rows.join(known, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
