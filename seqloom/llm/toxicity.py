@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, table
 
 #: Labelled rows of each class that are fitted on, at most.
-SAMPLE = {1: 2000, 0: 3000}
+SAMPLE = {1: 2500, 0: 4500}
 BUCKETS, DIMENSIONS = 1 << 20, 8
 #: Lengths of character n-grams, counted with the marks at a word's ends.
-GRAMS = (4, 6)
+GRAMS = (4, 5, 6)
 #: Passes over the sample, and updates at least; rows of an update, and the rate.
 EPOCHS, UPDATES, BATCH, RATE = 6, 400, 64, 0.25
 #: A bucket counts if this share of the fitted rows has it, three at least; rarer ones only tell rows apart.
@@ -46,21 +46,23 @@ PADDING = 20
 REMEMBERED = 400_000
 
 
-#: A to Z in lower case; ASCII marks separate words as white space does.
-_PLAIN = bytes(32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def split(text: bytes) -> list[bytes]:
-    """The words of a UTF-8 text, as they are scored."""
-    return text.translate(_PLAIN).split()
+def lower(word: bytes) -> bytes:
+    """A word of UTF-8 in lower case, as Unicode has it."""
+    return word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode("utf-8", "surrogatepass")
 
 
 def buckets(word: bytes) -> list[int]:
-    """The buckets of a word: its own and those of its n-grams of UTF-8 bytes."""
+    """The buckets of a word in lower case: its own and those of its character n-grams."""
     text = b"<" + word + b">"
-    parts = {text}
-    for n in GRAMS:
-        parts.update([text[i : i + n] for i in range(len(text) - n + 1)])
+    if word.isascii():  # a character is a byte
+        parts = {text}
+        for n in GRAMS:
+            parts.update([text[i : i + n] for i in range(len(text) - n + 1)])
+    else:
+        letters = text.decode("utf-8", "surrogatepass")
+        parts = {text}
+        for n in GRAMS:
+            parts.update([letters[i : i + n].encode("utf-8", "surrogatepass") for i in range(len(letters) - n + 1)])
     return [crc32(x) & (BUCKETS - 1) for x in parts]
 
 
@@ -68,19 +70,19 @@ class Bags:
     """Texts as sparse rows: a bucket's share in the mean of a text's words."""
 
     def __init__(self):
-        self.words: dict[bytes, list[int]] = {}
+        self.words: dict[bytes, array] = {}
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(split(text.encode("utf-8", "surrogatepass")))
+        counts = Counter(map(lower, text.encode("utf-8", "surrogatepass").split()))
         if not counts:
             return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        ids, sizes, total = [], [], counts.total() + PADDING
+        ids, sizes, total = array("i"), [], counts.total() + PADDING
         for word in counts:
             at = self.words.get(word)
             if at is None:
-                at = self.words[word] = buckets(word)
+                at = self.words[word] = array("i", buckets(word))
             ids += at
             sizes.append(len(at))
         share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / total / np.array(sizes)
@@ -155,15 +157,19 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Weights(dict):
-    """A word's part in the logit; filled as words are met."""
+    """A word's part in the logit; filled as words are met, each spelling from its lower case."""
 
     def __init__(self, lift: np.ndarray):
         super().__init__()
         self.lift = array("f", lift.tobytes()).__getitem__
 
     def __missing__(self, word: bytes) -> float:
-        at = buckets(word)
-        x = sum(map(self.lift, at)) / len(at)
+        plain = lower(word)
+        if plain != word:
+            x = self[plain]
+        else:
+            at = buckets(word)
+            x = sum(map(self.lift, at)) / len(at)
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = x
@@ -194,7 +200,7 @@ def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "te
         for batch in batches:
             logits = np.full(batch.num_rows, base)
             for i, text in enumerate(batch.column(at)):
-                if text.is_valid and (words := split(text.as_buffer().to_pybytes())):
+                if text.is_valid and (words := text.as_buffer().to_pybytes().split()):
                     logits[i] += sum(map(look, words)) / (len(words) + PADDING)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=names)
 

@@ -362,6 +362,19 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, lift, base).count() == 0
 
 
+def test_toxic_words_of_any_script_and_case():
+    """Character n-grams of every length, of letters in Unicode's lower case; a mark within a word is part of it."""
+    assert toxicity.GRAMS == (4, 5, 6) and toxicity.SAMPLE == {1: 2500, 0: 4500}
+    weigh = toxicity.Weights(np.random.default_rng(0).random(toxicity.BUCKETS, dtype=np.float32))
+    for word in ("ÉLÈVE", "Straßenköter", "СЛОВО", "Plain", "sh*t", "ДУРАК!"):
+        plain = "<" + word.lower() + ">"
+        grams = {plain, *(plain[i : i + n] for n in (4, 5, 6) for i in range(len(plain) - n + 1))}
+        assert Counter(toxicity.buckets(word.lower().encode())) == Counter(zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams)
+        assert weigh[word.encode()] == weigh[word.lower().encode()]
+        (one, _), (other, _) = toxicity.Bags().bag(word), toxicity.Bags().bag(word.lower())
+        assert one.tolist() == other.tolist() == sorted({zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams})
+
+
 def test_chat_parsing():
     text = "On Monday Ann wrote:\n> > first thing said\n> no, I don't think so\nI agree\nwith you"
     own, mine, quotes, n = chat.parse(text)
