@@ -15,7 +15,7 @@ Within a task, a window that an earlier document of the same task has is settled
 once, so a passage in a third of all documents reaches its block a few times for each task. The text
 itself is shuffled once, to meet its spans.
 
-Two windows are held equal if a 64-bit hash of the anchor, the place of the anchor and a 32-bit hash of the
+Two windows are held equal if a 64-bit hash of the anchor, the place of the anchor and a 64-bit hash of the
 whole window agree.
 
 Defined results: null or empty text has no words; documents shorter than a window keep all; rows with a
@@ -39,7 +39,32 @@ from .common import partitions, table
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text that a task works on at once.
 CHUNK = 4_000_000
-_KINDS = ["<u8", "<u4", "<u4", "u1", "u1", "<u4", "<i8", "<u4"]
+_KINDS = ["<u8", "<u4", "<u4", "u1", "u1", "<u8", "<i8", "<u4"]
+#: Of these, what compresses: places and ids, as steps from one to the next.
+_STEPS = (1, 2, 3, 4, 6)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """``B.blob`` of arrays of ``_KINDS``, without loss, with small numbers compressed a byte place at a time."""
+    out = []
+    for i, (x, kind) in enumerate(zip(arrays, _KINDS, strict=True)):
+        x = np.ascontiguousarray(x.astype(kind))
+        if i in _STEPS:
+            with np.errstate(over="ignore"):
+                x = np.concatenate([x[:1], x[1:] - x[:-1]]) if x.itemsize > 1 else x
+            x = np.frombuffer(pa.compress(x.view("u1").reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True), dtype="u1")
+        out.append(x)
+    return B.blob(*out)
+
+
+def unpacked(value: bytes) -> list[np.ndarray]:
+    out = B.unblob(value, ["u1" if i in _STEPS else kind for i, kind in enumerate(_KINDS)])
+    for i in _STEPS:
+        kind, n = np.dtype(_KINDS[i]), len(out[7] if i == 6 else out[0])
+        x = np.frombuffer(pa.decompress(out[i].tobytes(), decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), dtype="u1")
+        x = np.ascontiguousarray(x.reshape(kind.itemsize, n).T).view(kind).ravel()
+        out[i] = np.cumsum(x, dtype=kind) if kind.itemsize > 1 else x
+    return out
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -48,7 +73,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
     n = len(hashes) - window + 1
     empty = np.zeros(0, dtype=np.int64)
     if n <= 0:
-        return empty.astype(np.uint64), empty, empty, empty, empty, empty.astype(np.uint32)
+        return empty.astype(np.uint64), empty, empty, empty, empty, empty.astype(np.uint64)
     runs = B.hash_runs(hashes, ANCHOR)
     best, at = runs[:n].copy(), np.zeros(n, dtype=np.int64)
     for j in range(1, window - ANCHOR + 1):
@@ -62,7 +87,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
     new[1:] = (where[1:] != where[:-1]) | (valid[1:] != valid[:-1] + 1) | (rows[valid[1:]] != rows[valid[:-1]])
     begin = np.flatnonzero(new)
     windows = valid[begin]
-    return best[windows], rows[windows], windows, np.diff(begin, append=len(valid)), at[windows], (B.hash_runs(hashes, window)[valid] >> np.uint64(32)).astype(np.uint32)
+    return best[windows], rows[windows], windows, np.diff(begin, append=len(valid)), at[windows], B.hash_runs(hashes, window)[valid]
 
 
 def settle(keys: np.ndarray, docs: np.ndarray, begin: np.ndarray, count: np.ndarray, distance: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,7 +103,7 @@ def settle(keys: np.ndarray, docs: np.ndarray, begin: np.ndarray, count: np.ndar
     step = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     firsts = np.cumsum(count) - count
     with np.errstate(over="ignore"):
-        full = B.mix(keys[which] + B.mix((checks[firsts[which] + step].astype(np.uint64) << np.uint64(8)) + (distance[which] - step).astype(np.uint64)))
+        full = B.mix(keys[which] + B.mix(checks[firsts[which] + step] + B.mix((distance[which] - step).astype(np.uint64))))
     doc, place = docs[which], begin[which] + step
     order = np.lexsort((place, doc, full))
     full = full[order]
@@ -140,7 +165,7 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
                 own, local = np.unique(row[at], return_inverse=True)
                 step = np.arange(count[at].sum()) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
                 out_parts.append(p)
-                out.append(B.blob(keys[at], local.astype("<u4"), begin[at].astype("<u4"), count[at].astype("u1"), distance[at].astype("u1"), checks[np.repeat(firsts[at], count[at]) + step], ids[own].astype("<i8"), tags[own].astype("<u4")))
+                out.append(packed(keys[at], local, begin[at], count[at], distance[at], checks[np.repeat(firsts[at], count[at]) + step], ids[own], tags[own]))
             none = pa.nulls(len(out), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out_parts, pa.int32()), none, none, pa.array(out, pa.binary())], names=["part", "doc_id", "tag", "value"])
 
@@ -149,7 +174,7 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         sent = block.filter(block.column("doc_id").is_null()).column("value")
         out = [block.filter(block.column("doc_id").is_valid()).select(names)]
         if len(sent):
-            got = [B.unblob(x.as_py(), _KINDS) for x in sent]
+            got = [unpacked(x.as_py()) for x in sent]
             keys, begin, count, distance, checks = (np.concatenate([g[i] for g in got]) for i in (0, 2, 3, 4, 5))
             ids, tags = (np.concatenate([g[i][g[1]] for g in got]) for i in (6, 7))
             del got, sent

@@ -81,6 +81,29 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_substring_dedup_tells_apart_windows_whose_hashes_share_32_bits(spark):
+    words = [f"w{i}" for i in range(4000)]
+    data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    starts, ends, _ = bytewise.words(data, np.array([0, len(data)]))
+    hashes = bytewise.hash_words(data, starts, ends, lower=False)
+    least = int(np.argmin(bytewise.hash_runs(hashes, 5)))  # an anchor that few others undercut
+    rng = np.random.default_rng(8)
+    picked = rng.integers(0, len(words), (400_000, 13))
+    picked[:, 4:9] = np.arange(least, least + 5)
+    with np.errstate(over="ignore"):
+        checks = np.zeros(len(picked), dtype=np.uint64)
+        for i in range(13):
+            checks = checks * np.uint64(bytewise._BASE) + hashes[picked[:, i]]
+    checks = bytewise.mix(checks) >> np.uint64(32)
+    order = np.argsort(checks, kind="stable")
+    twins = np.flatnonzero(checks[order][1:] == checks[order][:-1])
+    pairs = [(picked[order[i]], picked[order[i + 1]]) for i in twins]
+    assert len(pairs) > 5 and all((a != b).any() for a, b in pairs)
+    texts = [" ".join(words[i] for i in row) for pair in pairs for row in pair]
+    got = substring_dedup.dedup(spark.createDataFrame([*enumerate(texts), (9000, texts[0])], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {**dict.fromkeys(range(len(texts)), 0), 9000: 13}
+
+
 def brute_components(sets, percent=80):
     parent = {i: i for i in sets}
 
