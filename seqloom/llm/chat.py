@@ -1,11 +1,11 @@
 """Chat formatting by quotation linking: replies find what they quote, and conversations lose their quotes.
 
 A line's quote level is the number of ``>`` marks before its text. Runs of lines of one level are passages;
-a passage, its paragraphs and its lines are units, and a unit of ``MIN_WORDS`` words or more is normalised (case
+a passage, its paragraphs and its lines are units, and each unit is normalised (case
 and white space) and hashed. The text that is a message's own (level 0) gives units in the same way, and
 a quoted unit links to the first message that has it: the first of the same conversation if it is earlier,
-otherwise the first of all messages, if that is earlier in the order of (conv_id, turn). So a link always
-points back, and a line that a third of all messages have leads to one message, not to all of them.
+otherwise, if it has ``MIN_WORDS`` words or more, the first of all messages, if that is earlier in the order of
+(conv_id, turn). So a link always points back, and a line that a third of all messages have leads to one message, not to all of them.
 
 A message replies to the one of which it quotes most words at the lowest level. Chains of replies
 are followed by doubling up to their first message, in whose conversation they stand: by its turn, then
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
+#: Words of a unit that links across conversations, at least; a shorter one says too little outside its own.
 MIN_WORDS = 3
 _MARKS = re.compile(r"(?:[ \t]*>)+ ?")
 _SAID = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
@@ -63,8 +64,8 @@ def units(lines: list[str]) -> dict[int, int]:
             paragraph = []
     out = {}
     for part in {" ".join(x.casefold().split()) for x in parts}:
-        if (n := part.count(" ") + 1) >= MIN_WORDS and part:
-            out[int.from_bytes(hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)] = n
+        if part:
+            out[int.from_bytes(hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)] = part.count(" ") + 1
     return out
 
 
@@ -114,7 +115,7 @@ def links(rows: DataFrame) -> DataFrame:
     found = quoted.join(near, ["hash", "conv_id"], "left").join(first, "hash", "left")
     here = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn")))
     back = (F.col("first.conv_id") < F.col("conv_id")) | ((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.near_turn") < F.col("turn")))
-    found = found.withColumn("to", F.coalesce(here, F.when(back, F.col("first")))).where("to IS NOT NULL")
+    found = found.withColumn("to", F.coalesce(here, F.when(back & (F.col("words") >= MIN_WORDS), F.col("first")))).where("to IS NOT NULL")
     weighed = found.groupBy("conv_id", "turn", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.near_turn").alias("to_turn")).agg(F.sum("words").alias("words"))
     best = weighed.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "words", F.col("to_turn"), F.col("to_conv"))).alias("best"))
     return best.select("conv_id", "turn", F.col("best.to_conv").alias("to_conv"), F.col("best.to_turn").alias("to_turn"))

@@ -422,3 +422,10 @@ def test_chats(spark):
     for c in {r.conversation_id for r in got}:
         assert sorted(r.place for r in got if r.conversation_id == c) == list(range(sum(r.conversation_id == c for r in got)))
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+
+
+def test_chats_link_short_quotes_within_a_conversation(spark):
+    rows = [(0, 0, "user", "Yes"), (1, 0, "user", "shall we begin with it"), (1, 1, "assistant", "Sounds good"), (1, 2, "user", "> sounds  GOOD\nthen let us"), (1, 3, "assistant", "> Yes\nno such thing here"), (1, 4, "user", "> Later\nquoted too soon"), (1, 5, "user", "Later")]
+    at = {(r.conv_id, r.turn): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert (at[1, 2].reply_conv, at[1, 2].reply_turn, at[1, 2].depth, at[1, 2].text) == (1, 1, 1, "then let us")
+    assert at[1, 3].reply_conv is None and at[1, 4].reply_conv is None and at[1, 3].conversation_id == 1
