@@ -27,8 +27,6 @@ from .common import crc_mod, table
 
 #: Letters of an n-gram, and dimensions of a vector.
 N, DIMENSIONS = 3, 512
-#: Training rows that prototypes are made of, at most; chosen by the hash of their ids.
-TRAINING_ROWS = 30_000
 #: Characters of a block of texts, and n-grams of which counts are multiplied at once.
 BLOCK, PIECE = 400_000, 100_000
 #: n-grams whose vectors a worker keeps.
@@ -180,18 +178,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id bigint, lang_pred string, score double, margin double")
 
 
-def bounded(rows: DataFrame, most: int, *, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """``rows``, thinned by the hash of their ids to about ``most`` if there are more."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) < int((1 << 30) * most / n))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: the language of every document, learned from those outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     learn = docs.where(~held_out & F.col("lang").isNotNull())
-    found = predict(docs, train(bounded(learn, TRAINING_ROWS)))
+    found = predict(docs, train(learn))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")

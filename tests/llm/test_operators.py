@@ -429,3 +429,16 @@ def test_chats_link_short_quotes_within_a_conversation(spark):
     at = {(r.conv_id, r.turn): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
     assert (at[1, 2].reply_conv, at[1, 2].reply_turn, at[1, 2].depth, at[1, 2].text) == (1, 1, 1, "then let us")
     assert at[1, 3].reply_conv is None and at[1, 4].reply_conv is None and at[1, 3].conversation_id == 1
+
+
+def test_language_of_few_rows_among_many_is_learned(spark, tmp_path):
+    """No training row is left out, however many other rows there are."""
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("kalo mitu lomi").alias("text"), F.lit("aa").alias("lang"))
+    rare = spark.createDataFrame([(n + i, "schung eisch ungei", "bb") for i in range(3)], "doc_id bigint, text string, lang string")
+    assert any(zlib.crc32(str(n + i).encode()) % 5 for i in range(3))
+    for only in range(3):  # each of them is enough
+        if zlib.crc32(str(n + only).encode()) % 5:
+            docs.unionByName(rare.where(F.col("doc_id") == n + only)).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+            got = langid.query(spark, str(tmp_path)).where(F.col("doc_id") == n + only).first()
+            assert got.lang_pred == "bb"
