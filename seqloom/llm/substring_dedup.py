@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing of each document against all earlier ones.
+"""Substring dedup by looking up the windows of each document in an index of all earlier ones.
 
 The reference of a document is every document with a smaller id. Its index is kept in blocks, by hash:
 from every window of ``window`` words the run of five words with the smallest hash is taken (a minimizer),
@@ -6,10 +6,9 @@ so equal windows have equal anchors and only about a fifth of all positions is i
 anchors of its hash range from all documents, each with a check number for each window that it stands for.
 A block thus knows, for each window, the earliest document that has it, and where.
 
-Parsing is greedy: a factor begins at a window that the reference has and runs on for as long as the next
-words continue the same passage of the same reference document. Factors are at least one window
-long and are duplicate spans. Where a factor ends, the windows that lie over its end are looked up on their
-own, so a passage that is put together from two references is found to its last word.
+No greedy parse finds the duplicates: every window is looked up on its own, so a passage that is put together
+from two references is found to its last word. Neighbouring hits along one passage of one reference document
+are merged into factors afterwards, each at least one window long; they are not chosen as the longest.
 
 Within a task, a window that an earlier document of the same task has is settled there and sent on only
 once, so a passage in a third of all documents reaches its block a few times for each task. The text
@@ -188,7 +187,7 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
 
 def factors(runs: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (first word, words, reference document, first word there) from runs of windows."""
+    """Factors (first word, words, reference document, first word there) merged from runs of windows."""
     out: list[list[int]] = []
     for place, n, ref, ref_place in runs[np.lexsort((runs[:, 2], runs[:, 0]))].tolist():
         if out and out[-1][2] == ref and out[-1][0] + out[-1][1] == place + window - 1 and ref_place - out[-1][3] == place - out[-1][0]:
