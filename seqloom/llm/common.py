@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,10 @@ from pyspark.sql import functions as F
 
 #: A word, as every contract here has it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the bitmap that ``among`` broadcasts: 4 MB.
+BITS = 1 << 25
+#: Spark's setting that ends the life of an execution's shuffle files with the execution.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +30,33 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, without its lineage.
 
-    Executors may be lost later: the files are on shared storage.
+    Executors may be lost later: the files are on shared storage. Nothing reads the shuffles of this execution
+    again, so Spark is told to delete their files as it ends; the setting holds for frames that are made under it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps whose results are kept elsewhere: it does so once the driver's
-    garbage collection has found that nothing refers to them, which a driver with memory to spare puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose id isn't in the only column of ``ids``: what is left still has to be joined.
+
+    A bitmap of hashes, ``BITS`` bits for any input, is broadcast, so that wide rows nobody asks for are
+    not shuffled. With more ids than bits it lets everything through, and the join after it does the same as before.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(BITS))
+    asked = ids.select(bit(F.col(ids.columns[0])).alias("bit"))
+    bitmap = asked.groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bitmap"))
+    place = F.bitmap_bit_position(bit(F.col(id_col)))
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bitmap), (F.bitmap_bucket_number(bit(F.col(id_col))) == F.col("__bucket")) & has, "left_semi")
 
 
 def crc_mod(col: str, n: int) -> Column:

@@ -24,7 +24,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("a").alias("b"), F.col("m").alias("a")).where("a <> b").unionByName(least.select("b", F.col("m").alias("a")))
         edges = cut(small.distinct())
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        state = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if state == before or not state["n"]:
             break
         before = state

@@ -14,10 +14,16 @@ squared frequencies of each segment's subsets), plus the index entries they need
 of a passage shared by many documents is used last, after the neighbourhoods of quiet segments.
 
 Equal sets are one node. Index blocks, dealt by hash, give lists of nodes with a common entry. In each list
-a leading node is compared with all others; what is verified joins components. Lists that then still hold
-several components are compared across these, all pairs, less those that count sketches of the sets
-rule out for certain. So no link between components is lost, and large groups of near copies are never
-paired off. Pairs are verified on whole texts, read again; shingles compare by 64-bit hashes.
+a leading node is compared with all others, and what is verified joins components; this is linear in a list's size.
+Lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, four to
+eight for each of them, and each flips its bit. Sketches of two sets differ in no more bits than the sets differ in shingles, and
+in little fewer, so nearly all pairs that are too far apart are ruled out for certain, in the block of the list that
+holds them. A round gives only the nearest open partners of each member, and only lists that had more go on to the next,
+which gives more of them; so what large groups of near copies have in common is joined by few links a node and
+never paired off. In the end every pair of a list is in one component, ruled out, or compared.
+
+A list whose sketches exceed a block is dealt over several: members of its largest component are not compared among
+themselves, all others meet every block. Pairs are verified on whole texts; shingles compare by 64-bit hashes.
 
 Defined results: null, empty and wordless texts have empty sets, and reach only themselves; rows with a
 null id keep their size, have no component and link nothing; of rows of equal id each has its own set;
@@ -36,12 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import cut, partitions, release, table
+from .common import among, cut, partitions, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Rounds in which lists are compared with one leader, before all of what is left is.
+#: Rounds in which lists are compared with one leader, before what is left open is closed.
 STARS = 2
+#: Members of a block of an open list, and bytes of their sketches.
+SIDE, SIDE_BYTES = 2048, 8_000_000
+#: Open partners that a member gives in the first round that closes lists; each round gives as many times more.
+NEAREST = 16
+#: Bands whose segments are measured: sets up to 65,535 shingles. Longer ones take their segments as they come.
+MEASURED = 16
 CHUNK = 8_000_000
 #: Counters of the sketch that measures a segment's cost.
 SLOTS = 16
@@ -85,13 +97,13 @@ class Sets:
         return np.where(self.sizes > 0, out, 0).astype(np.uint64).view(np.int64)
 
     def sketches(self) -> pa.Array:
-        """Counts of the shingles in as many slots as a set's size has halves to a whole of: one byte each, 255 at most."""
-        slots = np.where(self.sizes > 0, 1 << np.maximum(band_of(np.maximum(self.sizes, 1)), 0), 0)
-        begin = np.concatenate([[0], np.cumsum(slots)])
+        """Parities of the shingles that fall on each bit, in as many bytes as a set's band has shingles at least."""
+        widths = np.where(self.sizes > 0, 1 << np.maximum(band_of(np.maximum(self.sizes, 1)), 0), 0)
+        begin = np.concatenate([[0], np.cumsum(widths)])
         row = self.rows()
-        at = begin[:-1][row] + (self.shingles & (slots[row] - 1).astype(np.uint64)).astype(np.int64)
-        counts = np.minimum(np.bincount(at, minlength=begin[-1]), 255).astype(np.uint8)
-        return pa.Array.from_buffers(pa.large_binary(), len(slots), [None, pa.py_buffer(begin.astype(np.int64).tobytes()), pa.py_buffer(counts.tobytes())]).cast(pa.binary())
+        at = begin[:-1][row] * 8 + (B.mix(self.shingles) & (8 * widths[row] - 1).astype(np.uint64)).astype(np.int64)
+        bits = np.packbits((np.bincount(at, minlength=8 * begin[-1]) & 1).astype(np.uint8), bitorder="little")
+        return pa.Array.from_buffers(pa.large_binary(), len(widths), [None, pa.py_buffer(begin.astype(np.int64).tobytes()), pa.py_buffer(bits.tobytes())]).cast(pa.binary())
 
     def take(self, rows: np.ndarray) -> Sets:
         sizes = self.sizes[rows]
@@ -113,7 +125,7 @@ def shingle_sets(column: pa.Array, width: int = SHINGLE) -> Sets:
     for k in range(1, width + 1):
         mine = np.minimum(n, width)[row] == k
         if mine.any():
-            out[mine] = B.hash_runs(hashes, k)[at[mine]] ^ (_SALT * np.uint64(width - k))
+            out[mine] = B.hash_runs(hashes, k)[at[mine]] ^ np.uint64(int(_SALT) * (width - k) % 2**64)
     for i, j in zip(begin[:-1], begin[1:], strict=True):
         if j - i > 1:
             out[i:j].sort()
@@ -169,6 +181,8 @@ def costs(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters of the subsets in each segment: keys (band, segment, slot in one number) and counts."""
     keys = []
     for band, rows, _ in schemes(sets, percent):
+        if band >= MEASURED:
+            continue
         s = subsets(sets, rows, band, percent)
         slot = (entry(band, s.segment, s.total) >> np.uint64(60)).astype(np.int64)
         keys.append((band << 40 | s.segment) << 4 | slot)
@@ -248,7 +262,7 @@ def profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def measure(profile: DataFrame, percent: int) -> dict[int, np.ndarray]:
-    """The order of units in each band; a row a segment comes to the driver, bounded by the longest text."""
+    """The order of units in each band; a row a segment comes to the driver: fewer than 100,000, as MEASURED bounds them."""
     slots = profile.where("what = 1").groupBy("doc_id").agg(F.sum("n").alias("n"))
     per = slots.groupBy(F.shiftright("doc_id", 44).alias("band"), (F.shiftright("doc_id", 4).bitwiseAND(F.lit((1 << 40) - 1))).alias("segment"))
     found: dict[int, dict[int, tuple[float, float]]] = {}
@@ -258,7 +272,7 @@ def measure(profile: DataFrame, percent: int) -> dict[int, np.ndarray]:
 
 
 def lists(docs: DataFrame, order: dict[int, np.ndarray], percent: int, width: int) -> DataFrame:
-    """(list_id, nodes): nodes with a common index entry, two at least, each list once."""
+    """(list_id, node): nodes with a common index entry, two at least, each list once."""
     parts = 2 * partitions(docs.sparkSession)
     sent_order = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -307,77 +321,78 @@ def lists(docs: DataFrame, order: dict[int, np.ndarray], percent: int, width: in
         at = np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         with np.errstate(over="ignore"):
             ids = B.mix(np.add.reduceat(B.mix(nodes[at].view(np.uint64)), ends - sizes) + sizes.astype(np.uint64)).view(np.int64) if len(ends) else ids[:0]
-        values = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int64)), pa.array(nodes[at])).cast(pa.list_(pa.int64()))
-        return pa.table({"list_id": pa.array(ids.astype(np.int64)), "nodes": values})
+        return pa.table({"list_id": np.repeat(ids.astype(np.int64), sizes), "node": nodes[at]})
 
     sent = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(send, "part int, value binary")
-    found = sent.groupBy("part").applyInArrow(gather, "list_id bigint, nodes array<bigint>")
-    return found.groupBy("list_id").agg(F.first("nodes").alias("nodes"))
+    return sent.groupBy("part").applyInArrow(gather, "list_id bigint, node bigint").distinct()
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of bytes) with fewer bits, as if they had been made so."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), sketches.shape[1] // width, width), axis=1)
+
 
+def _apart(n_u: np.ndarray, n_v: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many shingles, or more, can't be similar."""
+    return (differ * (100 + percent) > (100 - percent) * (n_u + n_v)) | (100 * np.minimum(n_u, n_v) < percent * np.maximum(n_u, n_v))
 
-def _folded(sketch: bytes, slots: int) -> np.ndarray:
-    """A sketch with fewer slots, as if it had been made so."""
-    return np.minimum(np.frombuffer(sketch, dtype=np.uint8).reshape(-1, slots).sum(axis=0, dtype=np.int64), 255).astype(np.int16)
 
+def _rows_by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bytes, the rows of a binary column that have so many, those as a matrix)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
+    whole, widths = np.frombuffer(data, dtype=np.uint8), np.diff(at)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        yield width, rows, whole[at[rows][:, None] + np.arange(width)] if len(rows) * width else np.zeros((len(rows), width), dtype=np.uint8)
 
-def _differ(n_u, n_v, x: np.ndarray, y: np.ndarray, percent: int):
-    """Whether sketches differ by more than similar sets of these sizes could, or their sizes do."""
-    apart = np.abs(x - y).sum(axis=-1, dtype=np.int64) * (100 + percent) > (100 - percent) * (n_u + n_v)
-    return apart | (100 * np.minimum(n_u, n_v) < percent * np.maximum(n_u, n_v))
+
+def sketches_allow(n_u: np.ndarray, n_v: np.ndarray, x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Which pairs of sets their sketches don't rule out."""
+    ok = np.zeros(len(n_u), dtype=bool)
+    right = list(_rows_by_width(y))
+    for wide, rows, left in _rows_by_width(x):
+        for other, others, matrix in right:
+            both, i, j = np.intersect1d(rows, others, assume_unique=True, return_indices=True)
+            width = min(wide, other)
+            differ = np.bitwise_count(_folded(left[i], width) ^ _folded(matrix[j], width)).sum(axis=1, dtype=np.int64)
+            ok[both] = ~_apart(n_u[both], n_v[both], differ, percent)
+    return ok
+
+
+def similar(left: Sets, right: Sets, percent: int) -> np.ndarray:
+    """Whether row i of ``left`` is similar to row i of ``right``, exactly."""
+    shingles = np.unique(np.concatenate([left.shingles, right.shingles]))
+    place = lambda s: s.rows() * len(shingles) + np.searchsorted(shingles, s.shingles)
+    common = np.bincount(left.rows()[np.isin(place(left), place(right), assume_unique=True)], minlength=len(left.sizes))
+    return 100 * common >= percent * (left.sizes + right.sizes - common)
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """``pairs(u, v)`` of nodes -> those whose sets are similar, as (u, v, a, b) with the documents that stand for them."""
+    """``pairs(u, v)`` of nodes -> those whose sets are similar; only texts that sketches leave in question are shuffled."""
 
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = []
-                for n_u, n_v, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "x", "y")), strict=True):
-                    slots = min(len(x), len(y))
-                    ok.append(not _differ(n_u, n_v, _folded(x, slots), _folded(y, slots), percent))
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v", "a", "b"])
+                ok = sketches_allow(batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy(), batch.column("x"), batch.column("y"), percent)
+                yield batch.filter(pa.array(ok)).select(["u", "v", "a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in B.chunks(B.chunks(iter([whole]), 5, CHUNK // 2), 4, CHUNK // 2):
-                ids, where, which = np.unique(batch.column("a").to_numpy(), return_index=True, return_inverse=True)
-                left, right = shingle_sets(batch.column("text_a").take(pa.array(where)), width), shingle_sets(batch.column("text_b"), width)
-                ok = (left.nodes()[which] == batch.column("u").to_numpy()) & (right.nodes() == batch.column("v").to_numpy())
-                for i in np.flatnonzero(ok):
-                    x = left.shingles[left.first[which[i]] : left.first[which[i] + 1]]
-                    y = right.shingles[right.first[i] : right.first[i + 1]]
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield batch.filter(pa.array(ok)).select(["u", "v", "a", "b"])
+            for batch in B.chunks(B.chunks(iter([whole]), 3, CHUNK // 2), 2, CHUNK // 2):
+                ids, where, which = np.unique(batch.column("u").to_numpy(), return_index=True, return_inverse=True)
+                left, right = shingle_sets(batch.column("text_a").take(pa.array(where)), width).take(which), shingle_sets(batch.column("text_b"), width)
+                ok = (left.nodes() == batch.column("u").to_numpy()) & (right.nodes() == batch.column("v").to_numpy()) & similar(left, right, percent)
+                yield batch.filter(pa.array(ok)).select(["u", "v"])
 
     u = nodes.select(F.col("node").alias("u"), F.col("rep").alias("a"), F.col("n").alias("n_u"), F.col("sketch").alias("x"))
     v = nodes.select(F.col("node").alias("v"), F.col("rep").alias("b"), F.col("n").alias("n_v"), F.col("sketch").alias("y"))
-    left = pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b", "n_u", "n_v", "x", "y").mapInArrow(rule_out, "u bigint, v bigint, a bigint, b bigint")
-    left = cut(left)
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    with_b = left.join(texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
-    with_both = with_b.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return with_both.select("u", "v", "a", "b", "text_a", "text_b").mapInArrow(compare, "u bigint, v bigint, a bigint, b bigint")
-
-
-def across(unsettled: DataFrame, percent: int) -> DataFrame:
-    """(list_id, node, n, sketch, component) -> pairs (u, v) in different components of one list that sketches allow."""
-
-    def pair(block: pa.Table) -> pa.Table:
-        node, n, component = (block.column(c).to_numpy() for c in ("node", "n", "component"))
-        raw = block.column("sketch").to_pylist()
-        slots = min(map(len, raw))
-        sketch = np.stack([_folded(x, slots) for x in raw])
-        us, vs = [], []
-        for i in range(len(node) - 1):
-            other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
-            vs.append(node[other[~_differ(n[i], n[other], sketch[i], sketch[other], percent)]])
-            us.append(np.full(len(vs[-1]), node[i]))
-        u, v = np.concatenate(us), np.concatenate(vs)
-        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    return unsettled.groupBy("list_id").applyInArrow(pair, "u bigint, v bigint").distinct()
+    left = cut(pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b", "n_u", "n_v", "x", "y").mapInArrow(rule_out, "u bigint, v bigint, a bigint, b bigint"))
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    text_b = among(known, "doc_id", left.select("b")).withColumnsRenamed({"doc_id": "b", "text": "text_b"})
+    text_a = among(known, "doc_id", left.select("a")).withColumnsRenamed({"doc_id": "a", "text": "text_a"})
+    return left.join(text_b, "b").join(text_a, "a").select("u", "v", "text_a", "text_b").mapInArrow(compare, "u bigint, v bigint")
 
 
 def led(members: DataFrame) -> DataFrame:
@@ -394,12 +409,83 @@ def led(members: DataFrame) -> DataFrame:
     return led_.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
 
 
-def settled(links: DataFrame, nodes: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with their components by ``links``, and the lists that still hold several."""
-    found = cut(components(links.select("a", "b")))
-    labels = cut(nodes.join(found.withColumnsRenamed({"id": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("node", "rep", "n", "sketch", "component"))
-    inside = members.select("list_id", "node").join(labels.select("node", "component"), "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return labels, cut(inside.where("low <> high").select("list_id"))
+def dealt(members: DataFrame) -> DataFrame:
+    """(list_id, node, component, n) -> the same in blocks p <= q, each member with the block it is of.
+
+    Pairs of members in block p, or in p and q, are compared where both meet. Members of a list's largest component have
+    blocks after all others', which never meet each other: a member goes to as many blocks as the others need.
+    """
+    weight = F.col("n") / SIDE_BYTES + 1 / SIDE
+    sizes = members.groupBy("list_id", "component").agg(F.sum(weight).alias("weight"))
+    lists_ = sizes.groupBy("list_id").agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "component")).alias("top"))
+    one = F.col("all") <= 1
+    lists_ = lists_.select("list_id", F.when(~one, F.col("top.component")).alias("top"), F.when(one, 1).otherwise(F.ceil(F.col("all") - F.col("top.weight"))).cast("int").alias("others"), F.when(one, 0).otherwise(F.ceil(F.col("top.weight"))).cast("int").alias("tops"))
+    own = F.when(F.col("component") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
+    placed = members.join(lists_, "list_id").withColumn("block", own)
+    meets = F.when(F.col("block") < F.col("others"), F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
+    met = placed.withColumn("other", F.explode(meets))
+    return met.select("list_id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "n")
+
+
+def candidates(n: np.ndarray, component: np.ndarray, sketch: pa.Array, here: np.ndarray, there: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, bits in which they differ) of different components that may be similar: one in ``here``, one in ``there`` or also in ``here``."""
+    out = [(np.zeros(0, dtype=np.int64),) * 3]
+    sides = [(here, here)] if there is None else [(here, there), (there, here)]
+    matrices = {side: {width: (rows[at], matrix) for width, at, matrix in _rows_by_width(sketch.take(pa.array(rows)))} for side, rows in enumerate((here, there)) if rows is not None}
+    for turn in range(len(sides)):
+        for width, (i, x) in matrices[turn].items():
+            for other in (width, 2 * width) if turn == 0 else (2 * width,):  # no set is similar to one of more than twice its size
+                j, y = matrices[len(sides) - 1 - turn if len(sides) > 1 else 0].get(other, (i[:0], x[:0]))
+                if not len(j):
+                    continue
+                kind = np.dtype(f"<u{min(width, 8)}")
+                a, b = (np.ascontiguousarray(_folded(m, width)).view(kind) for m in (x, y))
+                for at in range(0, len(i), step := max(1, (1 << 20) // b.size)):
+                    k = slice(at, at + step)
+                    differ = np.bitwise_count(a[k][:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                    open_ = ~_apart(n[i[k]][:, None], n[j][None, :], differ, percent) & (component[i[k]][:, None] != component[j][None, :])
+                    if there is None and other == width:
+                        open_ &= i[k][:, None] < j[None, :]
+                    p, q = np.nonzero(open_)
+                    out.append((i[k][p], j[q], differ[p, q]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def closing(blocks: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs (u, v) of open members that sketches allow: ``most`` partners of each member, the nearest; and the list_id of lists that have more."""
+
+    def run(block: pa.Table) -> pa.Table:
+        p, q = block.column("p")[0].as_py(), block.column("q")[0].as_py()
+        node, n, component, mine = (block.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        here = np.flatnonzero(mine == p)
+        there = np.flatnonzero(mine == q) if p < q else None
+        i, j, differ = candidates(n, component, block.column("sketch").combine_chunks(), here, there, percent)
+        one, two, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ])
+        order = np.lexsort((node[two], far / (n[one] + n[two]), one))
+        begin = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1])) if len(one) else one
+        nth = np.arange(len(one)) - np.repeat(begin, np.diff(begin, append=len(one)))
+        given = order[nth < most]
+        pairs = np.unique(np.stack([np.minimum(one[given], two[given]), np.maximum(one[given], two[given])]), axis=1)
+        u, v = node[pairs[0]], node[pairs[1]]
+        more = [block.column("list_id")[0].as_py()] * (pairs.shape[1] < len(i))
+        return pa.table({"u": pa.concat_arrays([pa.array(np.minimum(u, v)), pa.nulls(len(more), pa.int64())]), "v": pa.concat_arrays([pa.array(np.maximum(u, v)), pa.nulls(len(more), pa.int64())]), "list_id": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])})
+
+    return blocks.groupBy("list_id", "p", "q").applyInArrow(run, "u bigint, v bigint, list_id bigint")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels(node, component)`` with components that ``links(u, v)`` connect made one."""
+    if not links.limit(1).count():
+        return labels
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias("a" if c == "u" else "b"))
+    found = components(links.join(of("u"), "u").join(of("v"), "v").select("a", "b")).select(F.col("component").alias("into"), F.col("id").alias("component"))
+    return cut(labels.join(found, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
+
+
+def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of lists that still hold several components."""
+    inside = members.join(labels, "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return cut(members.join(inside.where("low <> high").select("list_id"), "list_id", "left_semi"))
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,28 +495,25 @@ def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = cut(profiles(docs, percent, width))
     rows = profile.where("what = 0")
-    nodes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    shared = cut(lists(docs, measure(profile, percent), percent, width))
+    members = cut(lists(docs, measure(profile, percent), percent, width))
     # A node that stands in many lists is near to many: it leads its lists, and the first comparisons are with leaders.
-    members = shared.select("list_id", F.explode("nodes").alias("node"))
-    members = cut(members.join(members.groupBy("node").agg(F.count("*").alias("lists")), "node"))
-    release(docs.sparkSession)
-    links, labels, open_lists = None, nodes.withColumn("component", F.col("rep")), None
+    listed = members.groupBy("node").agg(F.count("*").alias("lists"))
+    nodes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").join(listed, "node").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lists").alias("lists"), F.first("sketch").alias("sketch")))
+    labels = nodes.select("node", F.col("rep").alias("component"))
     for _ in range(STARS):
-        rows_ = members if open_lists is None else members.join(open_lists, "list_id")
-        pairs = led(rows_.join(labels.select("node", "component"), "node") if open_lists is not None else rows_.withColumn("component", F.col("node")))
-        new = cut(verify(pairs, nodes, docs, percent, width))
-        release(docs.sparkSession)
-        links = new if links is None else links.unionByName(new)
-        labels, open_lists = settled(links, nodes, members)
-    # Lists that the leaders left with nodes of several components.
-    unsettled = members.join(open_lists, "list_id").join(labels, "node").select("list_id", "node", "n", "sketch", "component")
-    more = cut(verify(across(unsettled, percent), nodes, docs, percent, width))
-    release(docs.sparkSession)
-    if more.limit(1).count():
-        labels, _ = settled(links.unionByName(more), nodes, members)
+        pairs = led(members.join(nodes.select("node", "lists"), "node").join(labels, "node"))
+        labels = joined(labels, cut(verify(pairs, nodes, docs, percent, width)))
+        members = still_open(members, labels)
+    most = NEAREST
+    while members.limit(1).count():
+        blocks = dealt(members.join(labels, "node").join(nodes.select("node", "n"), "node")).join(nodes.select("node", "sketch"), "node")
+        found = cut(closing(blocks, percent, most))
+        labels = joined(labels, cut(verify(found.where("u IS NOT NULL").select("u", "v").distinct(), nodes, docs, percent, width)))
+        members = still_open(members.join(found.select("list_id").distinct(), "list_id", "left_semi"), labels)
+        most *= NEAREST
     known = labels.select("node", "component")
-    linked = rows.join(known, "node", "left")
+    first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")).join(known, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    linked = rows.join(first, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

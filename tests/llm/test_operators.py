@@ -156,14 +156,19 @@ def test_jaccard_index_loses_no_pair(percent):
         mine = defaultdict(set)
         for k, r in zip(key.tolist(), row.tolist()):
             mine[r].add(k)
-        sketches, nodes = made.sketches().to_pylist(), made.nodes()
+        sketches, nodes = made.sketches(), made.nodes()
         for i in range(len(sets)):
             for j in range(i):
                 common = len(np.intersect1d(sets[i], sets[j]))
                 if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
                     assert mine[i] & mine[j]
-                    slots = min(len(sketches[i]), len(sketches[j]))
-                    assert not jaccard._differ(len(sets[i]), len(sets[j]), jaccard._folded(sketches[i], slots), jaccard._folded(sketches[j], slots), percent)
+                    one = lambda k: np.array([len(sets[k])])
+                    assert jaccard.sketches_allow(one(i), one(j), sketches.slice(i, 1), sketches.slice(j, 1), percent).all()
+                    a, b, _ = jaccard.candidates(made.sizes, np.arange(len(sets)), sketches, np.array([i, j]), None, percent)
+                    assert sorted([*a, *b]) == [j, i]
+                    a, b, _ = jaccard.candidates(made.sizes, np.arange(len(sets)), sketches, np.array([i]), np.array([j]), percent)
+                    assert sorted([*a, *b]) == [j, i]
+                assert jaccard.similar(made.take(np.array([i])), made.take(np.array([j])), percent)[0] == (100 * common >= percent * (len(sets[i]) + len(sets[j]) - common))
                 assert (nodes[i] == nodes[j]) == (len(sets[i]) == len(sets[j]) == common)
 
 
