@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +60,29 @@ def among(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bitmap), (F.bitmap_bucket_number(bit(F.col(id_col))) == F.col("__bucket")) & has, "left_semi")
 
 
+_memory: dict = {}
+
+
+def memory(operator: str, key, make):
+    """What a Python worker remembers from one partition to the next for an operator: that of any other operator goes first.
+
+    Workers are used again by later stages, so each holds one bounded memory and not one of each operator that ever ran.
+    """
+    if _memory.get("for") != (operator, key):
+        _memory.clear()
+        gc.collect()
+        _memory.update({"for": (operator, key), "value": make()})
+    return _memory["value"]
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(col: str, n: int) -> Column:
     """CRC-32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

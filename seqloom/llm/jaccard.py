@@ -26,8 +26,8 @@ A list whose sketches exceed a block is dealt over several: members of its large
 themselves, all others meet every block. Pairs are verified on whole texts; shingles compare by 64-bit hashes.
 
 Defined results: null, empty and wordless texts have empty sets, and reach only themselves; rows with a
-null id keep their size, have no component and link nothing; of rows of equal id each has its own set;
-an empty table gives none.
+null id keep their size, have no component and link nothing; of rows of equal id each has its own set, and rows that repeat
+are one node; texts are read whole however long they are; other columns take no part, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -243,22 +243,22 @@ def entries(sets: Sets, order: dict[int, np.ndarray], percent: int) -> tuple[np.
 
 
 def profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """A row a document (what 0: doc_id, n, node, sketch) and the counters of segments (what 1: doc_id is the key, n the count)."""
+    """A row a document (what 0: doc_id, n, node, sketch, tag) and the counters of segments (what 1: doc_id is the key, n the count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["what", "doc_id", "n", "node", "sketch"]
+        names = ["what", "doc_id", "n", "node", "sketch", "tag"]
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in B.chunks(batches, 1, CHUNK):
             sets = shingle_sets(batch.column(1), width)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int8)), batch.column(0), pa.array(sets.sizes), pa.array(sets.nodes()), sets.sketches()], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int8)), batch.column(0), pa.array(sets.sizes), pa.array(sets.nodes()), sets.sketches(), batch.column(2)], names=names)
             new_keys, new_counts = costs(sets.take(np.unique(sets.nodes(), return_index=True)[1]), percent)
             keys, which = np.unique(np.concatenate([keys, new_keys]), return_inverse=True)
             counts = np.bincount(which, weights=np.concatenate([counts, new_counts]), minlength=len(keys)).astype(np.int64)
         n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int8)), pa.array(keys), pa.array(counts), pa.array(np.zeros(n, dtype=np.int64)), pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, dtype=np.int8)), pa.array(keys), pa.array(counts), pa.array(np.zeros(n, dtype=np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "what tinyint, doc_id bigint, n bigint, node bigint, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "what tinyint, doc_id bigint, n bigint, node bigint, sketch binary, tag bigint")
 
 
 def measure(profile: DataFrame, percent: int) -> dict[int, np.ndarray]:
@@ -489,7 +489,7 @@ def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach), tag (the text's xxhash64)."""
     if not 50 <= percent <= 100:
         raise ValueError("similarities from 50 to 100 percent are supported")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -515,9 +515,9 @@ def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_co
     first = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")).join(known, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
     linked = rows.join(first, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "tag")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: near copies among all documents, by shingles of five words at a similarity of 0.8."""
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -12,16 +12,17 @@ agree. It is cut in two steps, so that a source of any size never meets in one t
 ranges of the hash say in which range the cut falls, and only that range is put in order.
 
 Defined results: null or empty text has size 0 and is kept with ``taken`` 0; a null source is a source
-of its own, after all others; equal rows are separate rows; an empty table gives an empty result.
+of its own, after all others; equal rows are separate rows; very long texts are counted whole; other
+columns, whatever their names, take no part and come through ``repeat`` unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
@@ -46,15 +47,15 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), sh
     return levelled.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, partial: bool = True) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, ``copies`` (whole), ``taken`` (words).
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, partial: bool = True, tag: Column | None = None) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, ``copies`` (whole), ``taken`` (words), ``tag``.
 
     With ``partial`` the document on which a source's cut falls gives just the words that are missing;
     otherwise it is taken if more than half of it is.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    measured = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", key).withColumn("range", F.substring("key", 1, 3)))
+    measured = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), (F.lit(0) if tag is None else tag).alias("tag")).withColumn("key", key).withColumn("range", F.substring("key", 1, 3)))
     ranges = measured.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights=weights, share=share, max_epochs=max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     t, r = targets.alias("t"), ranges.alias("r")
     planned = r.join(t, F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "r.range", "start", "range_size", "source_size", "target", "whole", "extra")
     m, p = measured.alias("m"), planned.alias("p")
-    rows = m.join(p, F.col("m.source").eqNullSafe(F.col("p.source")) & (F.col("m.range") == F.col("p.range"))).select("doc_id", "m.source", "size", "key", "m.range", "start", "range_size", "source_size", "target", "whole", "extra")
+    rows = m.join(p, F.col("m.source").eqNullSafe(F.col("p.source")) & (F.col("m.range") == F.col("p.range"))).select("doc_id", "m.source", "size", "tag", "key", "m.range", "start", "range_size", "source_size", "target", "whole", "extra")
     crossed = (F.col("start") < F.col("extra")) & (F.col("start") + F.col("range_size") > F.col("extra"))
     inside = W.partitionBy("source", "range").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
     cutting = rows.where(crossed).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -73,19 +74,27 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     cutting = cutting.withColumn("more", missing if partial else F.when(missing * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0)))
     out = plain.unionByName(cutting)
     copies = F.col("whole") + F.when((F.col("more") > 0) & (F.col("more") == F.col("size")), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"), "tag")
 
 
-def repeat(docs: DataFrame, **options) -> DataFrame:
+def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each document as many times as the mix takes it, with its own columns.
 
-    Whole documents only. Documents without a word belong to no share and leave with those not taken.
+    Whole documents only. Documents without a word belong to no share and leave with those not taken. Rows of equal id,
+    source and text share out what the mix takes of them, one row each, in an order by all their columns.
     """
-    taken = mix(docs, partial=False, **options).where("copies > 0").select("doc_id", "source", "copies").distinct()
-    d, t = docs.alias("d"), taken.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
-    kept = d.join(t, on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return kept.drop("__copy")
+    def same(id_: Column, source: Column, tag: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), F.hex(tag), F.coalesce(F.concat(F.lit("="), source), F.lit("")))
+
+    key, nth, each = (fresh(x, docs.columns) for x in ("__key", "__nth", "__each"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, partial=False, tag=F.xxhash64(text_col), **options)
+    taken = taken.where("copies > 0").groupBy(same(F.col("doc_id"), F.col("source"), F.col("tag")).alias(key)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(each))
+    own = docs.withColumn(key, same(F.col(id_col), F.col(source_col), F.xxhash64(text_col)))
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    own = own.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(order)))
+    copies = F.coalesce(F.try_element_at(F.col(each), F.col(nth)), F.lit(0)).cast("int")
+    kept = own.join(taken, key).where(copies > 0).withColumn(each, F.explode(F.sequence(F.lit(1), copies)))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 SQL = r"""
