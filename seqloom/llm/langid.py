@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, memory, table
 
 #: Letters of an n-gram, and dimensions of a vector.
 N, DIMENSIONS = 3, 512
@@ -108,14 +108,9 @@ class Encoder:
         return self.vectors[np.searchsorted(self.known, distinct)]
 
 
-_encoder: Encoder | None = None
-
-
 def encoder() -> Encoder:
-    global _encoder
-    if _encoder is None:
-        _encoder = Encoder()
-    return _encoder
+    """The worker's memory of n-grams."""
+    return memory("langid", None, Encoder)
 
 
 def blocks(texts: list) -> Iterator[list[int]]:

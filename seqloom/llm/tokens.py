@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-#: Words remembered in a worker; beyond it the memory is emptied and filled again.
-REMEMBERED = 500_000
+from .common import memory
+
+#: Words and parts of words remembered in a worker, some 200 bytes each; beyond it the memory is emptied and filled again.
+REMEMBERED = 300_000
 #: Letters whose lower case and normal form need no context, then marks that form one token run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -55,15 +57,9 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_known: Words | None = None
-
-
 def words(path: str) -> Words:
     """The worker's memory of a vocabulary's words."""
-    global _known
-    if _known is None or _known.path != path:
-        _known = Words(path)
-    return _known
+    return memory("tokens", path, lambda: Words(path))
 
 
 def default_path() -> str:

@@ -13,7 +13,8 @@ of their ids; the softmax's bias makes up for the classes' shares. Training runs
 
 Defined results: null, empty and wordless texts get the score of the bias alone; without labelled rows of
 both classes every score is the share of class 1 (0 without any); equal texts get equal scores; null ids are
-kept and never train; an empty table gives none.
+kept and never train; of rows of equal id each is scored, and each trains; texts are read whole however long they are; other
+columns stay as they are, one named as the score gives way to it; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,21 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, memory, table
 
 #: Labelled rows of each class that are fitted on, at most.
 SAMPLE = {1: 2500, 0: 4500}
 BUCKETS, DIMENSIONS = 1 << 20, 8
-#: Lengths of character n-grams, counted with the marks at a word's ends.
+#: Lengths of character n-grams, counted with the marks at a word's ends: a mark and three letters are the shortest.
 GRAMS = (4, 5, 6)
 #: Passes over the sample, and updates at least; rows of an update, and the rate.
-EPOCHS, UPDATES, BATCH, RATE = 6, 400, 64, 0.25
-#: A bucket counts if this share of the fitted rows has it, three at least; rarer ones only tell rows apart.
-COMMON = 0.005
+EPOCHS, UPDATES, BATCH, RATE = 10, 400, 64, 0.5
+#: Size of embeddings at the start; and what Adagrad's sums of squares begin with. Every bucket that is seen counts, but with
+#: this damping the vector of a rare one moves in proportion to its gradients, where plain Adagrad would let it tell rows apart.
+START, DAMPING = 0.01, 0.005
 #: Words of no meaning that every text's mean holds besides its own, lest a few words decide alone.
 PADDING = 20
 #: Words whose weight a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def lower(word: bytes) -> bytes:
@@ -67,52 +69,54 @@ def buckets(word: bytes) -> list[int]:
 
 
 class Bags:
-    """Texts as sparse rows: a bucket's share in the mean of a text's words."""
+    """Texts as distinct words with their shares in the text's mean; each word's buckets stand once in one array."""
 
     def __init__(self):
-        self.words: dict[bytes, array] = {}
+        self.words: dict[bytes, int] = {}
+        self.buckets, self.begin = array("i"), array("q", [0])
 
     def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         counts = Counter(map(lower, text.encode("utf-8", "surrogatepass").split()))
-        if not counts:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        ids, sizes, total = array("i"), [], counts.total() + PADDING
+        ids = array("i")
         for word in counts:
             at = self.words.get(word)
             if at is None:
-                at = self.words[word] = array("i", buckets(word))
-            ids += at
-            sizes.append(len(at))
-        share = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / total / np.array(sizes)
-        ids, which = np.unique(np.array(ids, dtype=np.int32), return_inverse=True)
-        return ids, np.bincount(which, weights=np.repeat(share, sizes)).astype(np.float32)
-
-
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings (BUCKETS, DIMENSIONS; rare buckets 0), softmax weights (DIMENSIONS, 2) and bias (2), by Adagrad."""
-    seen = np.zeros(BUCKETS, dtype=np.int32)
-    for ids, _ in bags:
-        seen[ids] += 1
-    kept = seen >= max(3, COMMON * len(bags))
-    place = np.cumsum(kept, dtype=np.int32) - 1
-    bags = [(place[ids[keep]], shares[keep]) for ids, shares in bags for keep in [kept[ids]]]
+                at = self.words[word] = len(self.words)
+                self.buckets.extend(buckets(word))
+                self.begin.append(len(self.buckets))
+            ids.append(at)
+        return np.array(ids, dtype=np.int32), (np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / (counts.total() + PADDING)).astype(np.float32)
+
+
+def _sum(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``which``, 0 to n - 1."""
+    return np.stack([np.bincount(which, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings (BUCKETS, DIMENSIONS; unseen buckets 0), softmax weights (DIMENSIONS, 2) and bias (2), by Adagrad."""
+    begin = np.frombuffer(known.begin, dtype=np.int64)
+    seen, place = np.unique(np.frombuffer(known.buckets, dtype=np.int32), return_inverse=True)
     rng = np.random.Generator(np.random.PCG64(seed))
     scale = np.float32(8)  # of a text's mean, so that rates of usual size move it
-    emb = (rng.random((int(kept.sum()), DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS
+    emb = (rng.random((len(seen), DIMENSIONS), dtype=np.float32) - 0.5) * np.float32(START / DIMENSIONS)
     soft = rng.normal(size=(DIMENSIONS, 2)) / 2
     bias = np.log(np.array([max(weights[labels == c].sum(), 1e-9) for c in (0, 1)]) / weights.sum())
-    emb_sq, soft_sq = np.full((len(emb), 1), 1e-6, dtype=np.float32), np.full((DIMENSIONS, 2), 1e-6)
+    emb_sq, soft_sq = np.full((len(emb), 1), DAMPING, dtype=np.float32), np.full((DIMENSIONS, 2), 1e-6)
     batches = -(-len(bags) // BATCH)
     for _ in range(max(EPOCHS, -(-UPDATES // batches))):
         for at in np.array_split(rng.permutation(len(bags)), batches):
-            ids = np.concatenate([bags[i][0] for i in at])
-            if not len(ids):
+            words = np.concatenate([bags[i][0] for i in at])
+            if not len(words):
                 continue
             shares = np.concatenate([bags[i][1] for i in at]) * scale
             rows = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
-            hidden = np.stack([np.bincount(rows, weights=emb[ids, d] * shares, minlength=len(at)) for d in range(DIMENSIONS)], axis=1)
+            words, word = np.unique(words, return_inverse=True)
+            sizes = (begin[words + 1] - begin[words])[:, None]
+            of = np.repeat(np.arange(len(words)), sizes[:, 0])
+            ids = place[begin[words][of] + np.arange(len(of)) - (np.cumsum(sizes) - sizes[:, 0])[of]]
+            vectors = _sum(of, emb[ids], len(words)) / sizes
+            hidden = _sum(rows, vectors[word] * shares[:, None], len(at))
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -121,12 +125,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
             to_soft, to_hidden = hidden.T @ p / len(at), p @ soft.T
             soft_sq += to_soft**2
             soft -= RATE * to_soft / np.sqrt(soft_sq)
+            to_words = _sum(word, to_hidden[rows] * shares[:, None], len(words)) / sizes
             distinct, which = np.unique(ids, return_inverse=True)
-            step = np.stack([np.bincount(which, weights=to_hidden[rows, d] * shares, minlength=len(distinct)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
+            step = _sum(which, to_words[of], len(distinct)).astype(np.float32)
             emb_sq[distinct, 0] += (step**2).mean(axis=1)
             emb[distinct] -= np.float32(RATE) * step / np.sqrt(emb_sq[distinct])
     out = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)
-    out[kept] = emb * scale
+    out[seen] = emb * scale
     return out, soft, bias
 
 
@@ -140,10 +145,9 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 bags.append(known.bag(text or ""))
                 labels.append(label)
                 weights.append(weight)
-        known.words.clear()
         y, w = np.array(labels, dtype=np.int64), np.array(weights, dtype=np.float64)
         if len({*labels}) == 2:
-            emb, soft, bias = fit(bags, y, w)
+            emb, soft, bias = fit(bags, known, y, w)
             lift, base = emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
         else:
             lift, base = np.zeros(BUCKETS), 40.0 if labels and labels[0] == 1 else -40.0
@@ -176,22 +180,14 @@ class Weights(dict):
         return x
 
 
-_known: tuple[int, Weights] | None = None
-
-
 def weights(lift: np.ndarray) -> Weights:
     """The worker's memory of a model's words."""
-    global _known
-    key = crc32(lift.tobytes())
-    if _known is None or _known[0] != key:
-        _known = (key, Weights(lift))
-    return _known[1]
+    return memory("toxicity", crc32(lift.tobytes()), lambda: Weights(lift))
 
 
 def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text in ``score_col``."""
-    if score_col in docs.columns:
-        raise ValueError(f"there is a column {score_col} already; give score_col another name")
+    """``docs`` with the score of each whole text in ``score_col``; a column that had this name gives way."""
+    docs = docs.drop(score_col)
     at, names = docs.columns.index(text_col), [*docs.columns, score_col]
     sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 

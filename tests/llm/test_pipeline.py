@@ -62,3 +62,24 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert Counter(map(key, packed)) == Counter(map(key, last))
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, texts that differ under one id, an empty table, and columns named as the operators name theirs."""
+    rng = random.Random(4)
+    one, two = sentence(rng, 60, 10**6), sentence(rng, 60, 10**6)
+    rows = [(1, one, "en", "s", 5, 0, "a"), (1, one, "en", "s", 5, 0, "a"), (2, one, None, "s", None, 1, "b"), (3, two, "en", None, 1, 2, "c"), (4, None, None, None, None, None, None), (4, "", "en", "s", 0, 0, "d"), (None, one, "en", "s", 5, 0, "e"), (5, two, "en", "s", 9, 1, "f"), (5, sentence(rng, 60, 10**6), "en", "s", 9, 1, "g")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, __tag string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (None, 1, 1)], "doc_id bigint, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.count() == 9
+    apart = corpus_pipeline.drop_near_copies(spark, clean, str(tmp_path))
+    assert apart.columns == docs.columns and sorted(((r.doc_id or 0, r["__tag"] or "") for r in apart.collect())) == [(0, "e"), (1, "a"), (3, "c"), (4, ""), (4, "d"), (5, "g")]
+    for stage in (corpus_pipeline.cut_repeated_passages, corpus_pipeline.mix_sources):
+        assert stage(spark, apart, str(tmp_path)).columns == docs.columns and stage(spark, docs, str(tmp_path)).count() >= 5
+    assert {r["__tag"]: r.n_words for r in corpus_pipeline.cut_repeated_passages(spark, docs, str(tmp_path)).collect()} == {"a": 0, "c": 2, None: None, "d": 0, "e": 0, "g": 1}
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
