@@ -9,34 +9,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import jaccard, mixing, packing, substring_dedup, toxicity
-from seqloom.llm.common import shared_folder, table
+from seqloom.llm.common import cut, fresh, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go."""
+    """Documents with a toxicity score of 0.7 or more go.
+
+    Null and empty texts have the score of the bias alone; rows of equal id or text are scored alike; an empty table stays empty.
+    """
     model = toxicity.trained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, *model, score_col="__score").where("__score < 0.7").drop("__score")
+    score = fresh("__score", docs.columns)
+    return toxicity.score(docs, *model, score_col=score).where(F.col(score) < 0.7).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    others = jaccard.join(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents one with the smallest id stays.
+
+    Null, empty and wordless texts are linked with nothing and stay, as rows without an id do. Rows of equal id are rows
+    of their own: of those that are linked one stays, and of equal ones one.
+    """
+    found = jaccard.join(docs).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = found.where("component_id = doc_id").groupBy("doc_id").agg(F.min("tag").alias("first"), F.count("*").alias("n"))
+    seen = found.join(first.withColumnRenamed("doc_id", "component_id"), "component_id")
+    # A row goes if its component has a smaller id, or another text with the same id that comes first.
+    gone = seen.where("component_id < doc_id OR tag <> first").select("doc_id", "tag").distinct()
+    again = cut(seen.where("component_id = doc_id AND tag = first AND n > 1").select("doc_id", "tag").distinct())
+    tag = fresh("__tag", docs.columns)
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    meets = lambda t: (tagged["doc_id"] == t["doc_id"]) & (tagged[tag] == t["tag"])
+    kept = tagged.join(gone, meets(gone), "left_anti")
+    if again.limit(1).count():  # rows that may repeat
+        kept = kept.join(again, meets(again), "left_anti").unionByName(kept.join(again, meets(again), "left_semi").dropDuplicates(["doc_id", tag]))
+    return kept.select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words that an earlier document has go; documents of which nothing is left go with them."""
-    kept = substring_dedup.dedup(docs, keep_text=True).where("n_words = 0 OR n_removed < n_words")
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Passages of 13 words that an earlier document has go; documents of which nothing is left go with them.
+
+    Null and empty texts stay, as rows without an id do, whole; rows of equal id take nothing from each other.
+    """
+    own = {c: fresh(f"__{c}", docs.columns) for c in docs.columns if c.lower() not in ("doc_id", "text")}
+    kept = substring_dedup.dedup(docs.withColumnsRenamed(own), keep_text=True).where("n_words = 0 OR n_removed < n_words")
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col(own["n_chars"])).alias("n_chars")
+    return kept.select(*[chars if c == "n_chars" else F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without a word belong to no share and go."""
     return mixing.repeat(docs).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All pieces with their sequences."""
+    """All pieces with their sequences; a null text is an empty one, equal rows are rows of their own."""
     return packing.pack_documents(docs)
 
 
