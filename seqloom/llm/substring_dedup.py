@@ -1,4 +1,4 @@
-"""Substring dedup by looking up the windows of each document in an index of all earlier ones.
+"""Substring dedup by relative Lempel-Ziv parsing of each document against an index of all earlier ones.
 
 The reference of a document is every document with a smaller id. Its index is kept in blocks, by hash:
 from every window of ``window`` words the run of five words with the smallest hash is taken (a minimizer),
@@ -6,9 +6,11 @@ so equal windows have equal anchors and only about a fifth of all positions is i
 anchors of its hash range from all documents, each with a check number for each window that it stands for.
 A block thus knows, for each window, the earliest document that has it, and where.
 
-No greedy parse finds the duplicates: every window is looked up on its own, so a passage that is put together
-from two references is found to its last word. Neighbouring hits along one passage of one reference document
-are merged into factors afterwards, each at least one window long; they are not chosen as the longest.
+With these hits a document is parsed from left to right, as relative Lempel-Ziv does it: at the pointer the factor is
+the longest stretch that goes on along one passage of one reference, the pointer moves to its end, and a word
+at which no window of a reference begins is a literal. Factors have a window at least. At each factor's
+end the windows that begin in it and end behind it are checked, too: one that some other reference has
+belongs to the duplicate span, so a passage that is put together from two references is found to its last word.
 
 Within a task, a window that an earlier document of the same task has is settled there and sent on only
 once, so a passage in a third of all documents reaches its block a few times for each task. The text
@@ -18,8 +20,8 @@ Two windows are held equal if a 64-bit hash of the anchor, the place of the anch
 whole window agree.
 
 Defined results: null or empty text has no words; documents shorter than a window keep all; rows with a
-null id are kept whole and are no reference; rows of equal id never take from each other; an empty table
-gives none.
+null id are kept whole and are no reference; rows of equal id never take from each other, and rows that repeat lose the
+same; texts are parsed whole however long they are; other columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -186,29 +188,43 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     return sent.groupBy("part").applyInArrow(look_up, "doc_id bigint, tag bigint, value binary")
 
 
-def factors(runs: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Factors (first word, words, reference document, first word there) merged from runs of windows."""
-    out: list[list[int]] = []
+def parse(runs: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """Runs of windows that references have -> the factors (first word, words, reference document, first word there) of a
+    greedy parse, and the spans (first word, end) that they cover with the windows over their ends."""
+    passages: list[list[int]] = []
     for place, n, ref, ref_place in runs[np.lexsort((runs[:, 2], runs[:, 0]))].tolist():
-        if out and out[-1][2] == ref and out[-1][0] + out[-1][1] == place + window - 1 and ref_place - out[-1][3] == place - out[-1][0]:
-            out[-1][1] += n
+        if passages and (last := passages[-1])[2] == ref and last[0] + last[1] == place and ref_place - last[3] == place - last[0]:
+            last[1] += n
         else:
-            out.append([place, n + window - 1, ref, ref_place])
-    return [tuple(x) for x in out]
+            passages.append([place, n, ref, ref_place])
+    factors: list[tuple[int, int, int, int]] = []
+    spans: list[list[int]] = []
+    pointer = 0
+    for place, n, ref, ref_place in passages:
+        end = place + n + window - 1
+        if (start := max(place, pointer)) < place + n:
+            factors.append((start, end - start, ref, ref_place + start - place))
+            pointer = end
+        # Windows before the pointer lie over the end of the factor before it.
+        if spans and place <= spans[-1][1]:
+            spans[-1][1] = max(end, spans[-1][1])
+        else:
+            spans.append([place, end])
+    return factors, [(a, b) for a, b in spans]
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, n_factors.
 
     With ``keep_text`` the columns of ``docs`` come first, the text being what is kept (unchanged if nothing
-    goes), and the factors come last.
+    goes), and the factors come last. A column of ``docs`` named as one of these gives way to it.
     """
     out_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"]
     found = duplicate_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window=window)
     found = found.groupBy("doc_id", "tag").agg(F.collect_list("value").alias("__runs")).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    results = {*out_names[1:], "factors", "__own", "__text", "__runs"}
+    docs = docs.drop(*[c for c in docs.columns if keep_text and c.lower() in results and c not in (id_col, text_col)])
     kept_columns = docs.columns if keep_text else []
-    if taken := {*kept_columns} & {*out_names[1:], "factors"}:
-        raise ValueError(f"columns that the result needs are taken: {sorted(taken)}")
     own = docs.select(*kept_columns, F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
     meets = (F.col("__own") == F.col("__id")) & (F.crc32(F.col("__text").cast("binary")) == F.col("__tag"))
     rows = own.join(found, meets, "left").select(*kept_columns, "__own", "__text", "__runs")
@@ -223,12 +239,12 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
             n_words, n_removed, digests, n_factors, texts, parsed = [], [], [], [], [], []
             for text, runs in zip(batch.column(n_kept + 1), batch.column(n_kept + 2), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                found = factors(np.concatenate([np.frombuffer(x.as_buffer(), dtype="<i8") for x in runs.values]).reshape(-1, 4), window) if runs.is_valid else []
+                found, gone_spans = parse(np.concatenate([np.frombuffer(x.as_buffer(), dtype="<i8") for x in runs.values]).reshape(-1, 4), window) if runs.is_valid else ([], [])
                 n, kept = len(words), words
                 if found:
                     gone = bytearray(n)
-                    for at, size, _, _ in found:
-                        gone[at : at + size] = b"\1" * size
+                    for at, end in gone_spans:
+                        gone[at:end] = b"\1" * (end - at)
                     kept = [w for w, x in zip(words, gone, strict=True) if not x]
                 joined = b" ".join(kept)
                 n_words.append(n)
