@@ -9,12 +9,12 @@ otherwise, if it has ``MIN_WORDS`` words or more, the first of all messages, if
 
 A message replies to the one of which it quotes most words at the lowest level. Chains of replies
 are followed by doubling up to their first message, in whose conversation they stand: by its turn, then
-by depth, then by their own conv_id and turn. Places are counted in blocks of turns, so that a conversation of any length
-is never in one task.
+by depth, then by their own conv_id and turn. Places are counted in cells: a turn, a depth, and a range of those who reply. So neither a
+conversation of any length nor all replies to one message are ever in one task.
 
 Defined results: null text has no units and stays null; a text of quotes alone becomes empty; a null
-conv_id or turn neither quotes nor is quoted, and such rows come last in their conversation; equal rows get places
-of their own; an empty table gives none.
+conv_id or turn neither quotes nor is quoted, and such rows come last in their conversation, in the order of a hash; equal rows get places
+of their own; texts are parsed whole, in time in proportion to their length; other columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .common import cut, table
 MIN_WORDS = 3
 _MARKS = re.compile(r"(?:[ \t]*>)+ ?")
 _SAID = re.compile(r"(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$", re.IGNORECASE)
-#: Turns of a block in which places are counted.
+#: Turns of a block, conversations and turns of a cell, in which places are counted.
 BLOCK = 1024
 
 
@@ -44,11 +44,13 @@ def levels(text: str) -> list[tuple[int, str]]:
     for line in text.split("\n"):
         marks = _MARKS.match(line)
         out.append((marks.group().count(">"), line[marks.end() :]) if marks else (0, line))
-    for i, (level, line) in enumerate(out):
-        if _SAID.search(line):
-            follow = next((x for x, rest in out[i + 1 :] if x or rest.strip()), 0)
-            if follow > level:
-                out[i] = (-1, line)
+    follow = 0  # the level of the next line that says something
+    for i in range(len(out) - 1, -1, -1):
+        level, line = out[i]
+        if follow > level and _SAID.search(line):
+            out[i] = (-1, line)
+        if level or line.strip():
+            follow = level
     return out
 
 
@@ -134,6 +136,19 @@ def roots(replies: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError("reply chains did not end")
 
 
+def _range(name: str):
+    return F.coalesce(F.floor(F.col(name) / BLOCK), F.lit(2**62))
+
+
+def _cell():
+    """Rows of a conversation that are put in order together: one root turn, one depth, and ranges of the ids of those who reply.
+
+    Cells stand in the order of their rows. Rows without a turn, which have no order of their own, are dealt by a hash.
+    """
+    spread = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("role", "own"), F.lit(4096))).otherwise(F.lit(0))
+    return F.struct(F.coalesce("root_turn", F.lit(2**62)).alias("root"), F.col("depth"), _range("conv_id").alias("convs"), _range("turn").alias("turns"), spread.cast("long").alias("hash"))
+
+
 def format_chats(messages: DataFrame) -> DataFrame:
     """One row a message: its conversation, place and depth there, what it replies to, and its text without quotes.
 
@@ -144,12 +159,15 @@ def format_chats(messages: DataFrame) -> DataFrame:
     chains = roots(replies).join(replies, ["conv_id", "turn"])
     placed = rows.select("conv_id", "turn", "role", "own", "n_quoted").join(chains, ["conv_id", "turn"], "left")
     placed = placed.withColumns({"conversation_id": F.coalesce("root_conv", "conv_id"), "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0))})
-    placed = cut(placed.withColumn("block", F.coalesce(F.floor(F.col("root_turn") / BLOCK), F.lit(2**62))))
-    counts = placed.groupBy("conversation_id", "block").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("conversation_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col("conversation_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    inside = W.partitionBy("conversation_id", "block").orderBy(F.col("root_turn").asc_nulls_last(), "depth", F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own")
-    numbered = placed.withColumn("nth", F.row_number().over(inside) - 1).join(counts, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    placed = cut(placed.withColumns({"block": _range("root_turn"), "cell": _cell()}))
+    sizes = placed.groupBy("conversation_id", "block", "cell").agg(F.count("*").alias("n"))
+    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    blocks = sizes.groupBy("conversation_id", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select(F.col("conversation_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before("conversation_id", "block")), F.lit(0)).alias("start"))
+    cells = sizes.withColumn("inside", F.coalesce(F.sum("n").over(before("conversation_id", "block", "cell")), F.lit(0)))
+    cells = cells.join(blocks, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("c", "b", F.col("cell").alias("at"), (F.col("start") + F.col("inside")).alias("start"))
+    nth = F.row_number().over(W.partitionBy("conversation_id", "block", "cell").orderBy(F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own"))
+    numbered = placed.withColumn("nth", nth - 1).join(cells, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("cell") == F.col("at")))
     return numbered.select(
         "conv_id", "turn", "role", "conversation_id", (F.col("start") + F.col("nth")).cast("long").alias("place"), "depth",
         F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), "n_quoted", F.col("own").alias("text"),

@@ -3,10 +3,12 @@
 An Aho-Corasick automaton finds the magic bytes of all known formats in one pass over the value. Each hit
 is only a candidate: the format's validator walks the structure (chunks, check sums, lengths) and gives
 the length of the medium, or rejects it. A medium that begins at byte 0 is the value's real type and
-corrects the declared one; media further on are carved as embedded ones, outermost first.
+corrects the declared one; media further on are carved as embedded ones, outermost first. Trailers are searched for once a value, so
+a text full of false starts takes time in proportion to its length.
 
 Defined results: a null value has no type and no media; a value without a valid medium keeps its declared
-type; equal values give equal results.
+type; equal values give equal results, and repeated rows are rows of their own; values are read whole however long they are; columns
+named as a result column give way to it, others stay; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,7 +25,38 @@ from pyspark.sql import DataFrame
 from .common import table
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Trailers:
+    """Where a value's trailers stand, each searched for once: many false starts don't search the value again."""
+
+    def __init__(self, value: bytes):
+        self.value, self.ends, self.marks = value, {}, {}
+
+    def last(self, mark: bytes) -> int:
+        if mark not in self.ends:
+            self.ends[mark] = self.value.rfind(mark)
+        return self.ends[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """Where ``mark`` first stands from ``at`` on, -1 if nowhere; starts come in ascending order."""
+        known = self.marks.get(mark, -2)
+        if known == -2 or 0 <= known < at:
+            known = self.marks[mark] = self.value.find(mark, at)
+        return known
+
+    def directories(self) -> dict[int, int]:
+        """Ends of zip archives by where they begin, as their closing records say."""
+        if "zip" not in self.ends:
+            b, found, end = self.value, {}, self.value.find(b"PK\x05\x06")
+            while end >= 0 and end + 22 <= len(b):
+                size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                if end + 22 + note <= len(b) and (at := end - size - start) >= 0 and b[at + start : at + start + 4] == b"PK\x01\x02":
+                    found.setdefault(at, end + 22 + note)
+                end = b.find(b"PK\x05\x06", end + 1)
+            self.ends["zip"] = found
+        return self.ends["zip"]
+
+
+def _png(b: bytes, at: int, known: Trailers) -> int | None:
     p, first = at + 8, True
     while p + 12 <= len(b):
         (n,) = struct.unpack_from(">I", b, p)
@@ -45,7 +78,7 @@ def _blocks(b: bytes, p: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, known: Trailers) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -63,7 +96,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, known: Trailers) -> int | None:
     p, frame = at + 2, False
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -83,7 +116,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
 
 
 def _riff(kind: bytes):
-    def check(b: bytes, at: int) -> int | None:
+    def check(b: bytes, at: int, known: Trailers) -> int | None:
         if at + 12 > len(b) or b[at + 8 : at + 12] != kind:
             return None
         (n,) = struct.unpack_from("<I", b, at + 4)
@@ -98,19 +131,19 @@ def _riff(kind: bytes):
     return check
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, known: Trailers) -> int | None:
     if at + 26 > len(b):
         return None
     n, zero, start, header = struct.unpack_from("<IIII", b, at + 2)
     return n if not zero and header in (12, 40, 108, 124) and 14 + header <= start <= n <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: bytes, at: int, known: Trailers) -> int | None:
+    end, table_at = known.last(b"%%EOF"), known.after(b"startxref", at)
+    return end + 5 - at if end >= at and 0 <= table_at < end else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, known: Trailers) -> int | None:
     one = zlib.decompressobj(31)
     try:
         for p in range(at, len(b), 65536):
@@ -123,17 +156,12 @@ def _gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and end + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02":
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(b: bytes, at: int, known: Trailers) -> int | None:
+    end = known.directories().get(at)
+    return end - at if end else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: bytes, at: int, known: Trailers) -> int | None:
     p = at
     while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
         n = b[p + 26]
@@ -179,11 +207,12 @@ def candidates(value: bytes, find) -> list[tuple[int, bytes]]:
 def confirm(value: bytes, hits: list[tuple[int, bytes]]) -> list[tuple[int, int, str]]:
     """The media at ``hits``: (offset, length, type), outermost first, none inside another."""
     out: list[tuple[int, int, str]] = []
+    known = Trailers(value)
     for at, magic in hits:
         if out and at < out[-1][0] + out[-1][1]:
             continue
         kind, check = FORMATS[magic]
-        if n := check(value, at):
+        if n := check(value, at, known):
             out.append((at, n, kind))
     return out
 
@@ -196,9 +225,7 @@ def sniff_column(df: DataFrame, content_col: str = "content", declared_col: str
     """``df`` with ``media_type`` (corrected), ``corrected`` and ``media`` (offset, length, type, the carved bytes)."""
     from pyspark.sql import types as T
 
-    clash = {"media_type", "corrected", "media"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
+    df = df.drop(*[c for c in df.columns if c.lower() in ("media_type", "corrected", "media") and c not in (content_col, declared_col)])
     medium = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("type", T.StringType()), T.StructField("content", T.BinaryType())])
     schema = T.StructType([*df.schema.fields, T.StructField("media_type", T.StringType()), T.StructField("corrected", T.BooleanType()), T.StructField("media", T.ArrayType(medium))])
     kinds = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())]))
