@@ -12,7 +12,7 @@ finds is measured again in double precision on the original vectors. The best of
 
 Defined results: vectors that are null, zero, or have a null or non-finite component, and rows with a null
 id, take no part, neither as queries nor as candidates; vectors of different lengths never meet; rows of equal id
-and vector are one; ties go to the smaller id; an empty table gives none.
+and vector are one; ties go to the smaller id; components stay doubles if they are; other columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .common import cut, table
 #: Nodes of a shard, out-edges of a node, beams of building and searching, and the pruning factor (of squared distances).
 SHARD, DEGREE, BEAM_BUILD, BEAM, ALPHA = 8192, 24, 48, 96, 1.44
 ENTRIES, BLOCK, EXPAND = 32, 512, 4
+#: Queries that a shard is sent for at once, and pairs measured at once.
+QUERIES, PAIRS = 16384, 16384
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,53 +135,60 @@ def build(x: np.ndarray, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     return graph.astype(np.int32), entries
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows as doubles, each times a power of two that brings its largest component near 1: cosines stay exactly the same."""
     wide = vectors.astype(np.float64)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    wide = scaled(vectors)
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part; vec is the float32 bytes."""
+    """(id, dim, vec) of the rows that take part; vec is the bytes of the components, of four bytes each if they are floats, otherwise of eight."""
+    kind, to = ("<f4", "array<float>") if "float" in vectors.schema[vector_col].dataType.simpleString() else ("<f8", "array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed = [], []
+            ids, dims, packed = [], [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
-                x = v.values.to_numpy().astype(np.float32) + np.float32(0)  # -0 is 0
-                if np.isfinite(x).all() and np.linalg.norm(x.astype(np.float64)) > 0:
+                x = v.values.to_numpy().astype(kind) + np.zeros(1, dtype=kind)  # -0 is 0
+                if np.isfinite(x).all() and x.any():
                     ids.append(i)
+                    dims.append(len(x))
                     packed.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], names=["id", "dim", "vec"])
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<float>")).mapInArrow(run, "id bigint, vec binary")
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast(to)).mapInArrow(run, "id bigint, dim int, vec binary")
 
 
 def distinct_nodes(rows: DataFrame, keep: int) -> DataFrame:
-    """(vec, ids): each vector once with its ``keep`` smallest ids; tasks thin out equal vectors before the shuffle."""
+    """(dim, vec, ids): each vector once with its ``keep`` smallest ids; tasks thin out equal vectors before the shuffle."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[bytes, list[int]] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(v, []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sorted({*x})[:keep] for x in held.values()], pa.list_(pa.int64()))], names=["vec", "ids"])
+            held: dict[tuple[int, bytes], list[int]] = {}
+            for i, dim, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((dim, v), []).append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([dim for dim, _ in held], pa.int32()), pa.array([v for _, v in held], pa.binary()), pa.array([sorted({*x})[:keep] for x in held.values()], pa.list_(pa.int64()))], names=["dim", "vec", "ids"])
 
-    some = rows.mapInArrow(thin, "vec binary, ids array<bigint>")
-    return some.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
+    some = rows.mapInArrow(thin, "dim int, vec binary, ids array<bigint>")
+    return some.groupBy("dim", "vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-def index(nodes: DataFrame, *, shard_size: int = SHARD) -> DataFrame:
-    """(dim, shard, size, vecs, graph, entries, ids, id_counts): a graph for each shard of nodes (vec, ids)."""
-    n = nodes.count()
-    dealt = nodes.withColumn("dim", (F.octet_length("vec") / 4).cast("int")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(max(1, -(-n // shard_size)))).cast("int"))
+def index(nodes: DataFrame, n_shards: int) -> DataFrame:
+    """(dim, shard, vecs, graph, entries, ids, counts): a graph for each shard of nodes (dim, vec, ids)."""
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(n_shards)).cast("int"))
 
     def run(block: pa.Table) -> pa.Table:
         dim, shard = block.column("dim")[0].as_py(), block.column("shard")[0].as_py()
         raw = block.column("vec").to_pylist()
         order = sorted(range(len(raw)), key=raw.__getitem__)  # the same graph however rows come
-        x = np.frombuffer(b"".join(raw[i] for i in order), dtype="<f4").reshape(-1, dim)
+        x = np.frombuffer(b"".join(raw[i] for i in order), dtype=f"<f{len(raw[0]) // dim}").reshape(-1, dim)
         ids = block.column("ids").to_pylist()
         graph, entries = build(unit(x))
         flat = np.array([j for i in order for j in ids[i]], dtype="<i8")
@@ -189,54 +198,63 @@ def index(nodes: DataFrame, *, shard_size: int = SHARD) -> DataFrame:
     return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, vecs binary, graph binary, entries binary, ids binary, counts binary")
 
 
-def search(shards: DataFrame, queries: DataFrame, k: int, *, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest that the shards' graphs give for ``queries`` (id, vec)."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.array([len(v.as_buffer()) // 4 for v in batch.column(1)], dtype=np.int64)
-            for dim in np.unique(sizes).tolist():
-                mine = np.flatnonzero(sizes == dim)
-                for at in range(0, len(mine), BLOCK):
-                    part = batch.take(pa.array(mine[at : at + BLOCK]))
-                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([b"".join(part.column(1).to_pylist())], pa.binary())], names=["dim", "query_ids", "query_vecs"])
+def search(shards: DataFrame, n_shards: int, queries: DataFrame, k: int, *, beam: int = BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest that the shards' graphs give for ``queries`` (id, dim, vec)."""
+    groups = max(1, -(-queries.count() // QUERIES))
+
+    def group(block: pa.Table) -> pa.Table:
+        order = np.argsort(block.column("id").to_numpy(), kind="stable")
+        vecs = block.column("vec").to_pylist()
+        return pa.table({"dim": pa.array(block.column("dim")[:1].to_pylist(), pa.int32()), "query_ids": pa.array([block.column("id").to_numpy()[order].astype("<i8").tobytes()], pa.binary()), "query_vecs": pa.array([b"".join(vecs[i] for i in order)], pa.binary())})
+
+    def near(x: np.ndarray, q: np.ndarray, own: np.ndarray, row: dict, graph: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For one block of queries: their ids, the ids found and the scores, ``k`` of each at most."""
+        ids, counts = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
+        found, _ = beam_search(unit(x), graph, np.frombuffer(row["entries"], dtype="<i8"), unit(q), beam)
+        which, place = np.nonzero(found >= 0)
+        node = found[which, place]
+        a, v = scaled(q), scaled(x)
+        exact = np.concatenate([(v[node[at : at + PAIRS]] * a[which[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(node), PAIRS)])
+        exact /= np.sqrt((v * v).sum(axis=1))[node] * np.sqrt((a * a).sum(axis=1))[which]
+        each = np.repeat(np.arange(len(node)), counts[node])
+        begin = np.cumsum(counts) - counts
+        all_ids = ids[begin[node][each] + np.arange(len(each)) - np.repeat(np.cumsum(counts[node]) - counts[node], counts[node])]
+        query, score = which[each], exact[each]
+        other = all_ids != own[query]
+        query, score, all_ids = query[other], score[other], all_ids[other]
+        order = np.lexsort((all_ids, -score, query))
+        query, score, all_ids = query[order], score[order], all_ids[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        top = nth < k
+        return own[query[top]], all_ids[top], score[top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                x, q = (np.frombuffer(row[c], dtype="<f4").reshape(-1, dim) for c in ("vecs", "query_vecs"))
-                graph, entries = np.frombuffer(row["graph"], dtype="<i4").reshape(-1, DEGREE), np.frombuffer(row["entries"], dtype="<i8")
-                ids, counts, own = np.frombuffer(row["ids"], dtype="<i8"), np.frombuffer(row["counts"], dtype="<i4"), np.frombuffer(row["query_ids"], dtype="<i8")
-                begin = np.cumsum(counts) - counts
-                found, _ = beam_search(unit(x), graph, entries, unit(q), beam)
-                rows = []
-                for i, near in enumerate(found):
-                    near = near[near >= 0]
-                    a, v = q[i].astype(np.float64), x[near].astype(np.float64)
-                    exact = (v * a).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((a * a).sum()))
-                    which = np.repeat(np.arange(len(near)), counts[near])
-                    all_ids = ids[np.repeat(begin[near], counts[near]) + np.arange(len(which)) - np.repeat(np.cumsum(counts[near]) - counts[near], counts[near])]
-                    other = all_ids != own[i]
-                    score, all_ids = exact[which][other], all_ids[other]
-                    top = np.lexsort((all_ids, -score))[:k]
-                    rows.append((np.full(len(top), own[i]), all_ids[top], score[top]))
-                a, b, c = (np.concatenate(z) for z in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
-
-    asked = queries.mapInArrow(blocks, "dim int, query_ids binary, query_vecs binary").join(F.broadcast(shards.select("dim", "shard")), "dim")  # numbers of shards only
-    spread = asked.repartition("dim", "shard")
-    near = spread.join(shards, ["dim", "shard"]).select("dim", "vecs", "graph", "entries", "ids", "counts", "query_ids", "query_vecs").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                dim, own = row["dim"], np.frombuffer(row["query_ids"], dtype="<i8")
+                x, q = (np.frombuffer(row[c], dtype=f"<f{len(row['query_vecs']) // (dim * len(own))}").reshape(-1, dim) for c in ("vecs", "query_vecs"))
+                graph = np.frombuffer(row["graph"], dtype="<i4").reshape(-1, DEGREE)
+                for at in range(0, len(own), BLOCK):
+                    a, b, c = near(x, q[at : at + BLOCK], own[at : at + BLOCK], row, graph)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
+
+    # A shard is sent once for each QUERIES queries, never once for each block of them.
+    grouped = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups))).groupBy("dim", "group").applyInArrow(group, "dim int, query_ids binary, query_vecs binary")
+    asked = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    near_ = asked.join(shards, ["dim", "shard"]).select("dim", "vecs", "graph", "entries", "ids", "counts", "query_ids", "query_vecs").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near_.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of every row whose id is divisible by ``every``, among all rows but itself."""
     rows = usable(vectors, id_col, vector_col)
-    shards = cut(index(distinct_nodes(rows, k + 1)))
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
-    return search(shards, queries, k)
+    nodes = cut(distinct_nodes(rows, k + 1))
+    n_shards = max(1, -(-nodes.count() // SHARD))
+    shards = cut(index(nodes, n_shards))
+    queries = cut(rows.where(F.pmod("id", F.lit(every)) == 0).distinct())
+    return search(shards, n_shards, queries, k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ otherwise, if it has ``MIN_WORDS`` words or more, the first of all messages, if
 
 A message replies to the one of which it quotes most words at the lowest level. Chains of replies
 are followed by doubling up to their first message, in whose conversation they stand: by its turn, then
-by depth, then by their own conv_id and turn. Places are counted in cells: a turn, a depth, and a range of those who reply. So neither a
+by depth, then by their own conv_id and turn. Places are counted in ranges, and ranges of ranges, of turns and of those who reply. So neither a
 conversation of any length nor all replies to one message are ever in one task.
 
 Defined results: null text has no units and stays null; a text of quotes alone becomes empty; a null
@@ -140,13 +140,40 @@ def _range(name: str):
     return F.coalesce(F.floor(F.col(name) / BLOCK), F.lit(2**62))
 
 
-def _cell():
-    """Rows of a conversation that are put in order together: one root turn, one depth, and ranges of the ids of those who reply.
+def _ranges() -> dict:
+    """Where a row stands in its conversation, from coarse to fine: ``block`` (a range of root turns), ``cell`` (one root turn, one depth
+    and a range of the conversations that reply) and ``row`` (one of them and a range of its turns).
 
-    Cells stand in the order of their rows. Rows without a turn, which have no order of their own, are dealt by a hash.
+    Each level's values stand in the order of the rows. Rows without a turn, which have no order of their own, are dealt by a hash.
     """
-    spread = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("role", "own"), F.lit(4096))).otherwise(F.lit(0))
-    return F.struct(F.coalesce("root_turn", F.lit(2**62)).alias("root"), F.col("depth"), _range("conv_id").alias("convs"), _range("turn").alias("turns"), spread.cast("long").alias("hash"))
+    last = F.lit(2**62)
+    spread = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("role", "own"), F.lit(4096))).otherwise(F.lit(0)).cast("long")
+    return {
+        "block": _range("root_turn"),
+        "cell": F.struct(F.coalesce("root_turn", last).alias("root"), F.col("depth"), _range("conv_id").alias("convs")),
+        "row": F.struct(F.coalesce("conv_id", last).alias("conv"), _range("turn").alias("turns"), spread.alias("hash")),
+    }
+
+
+def _starts(placed: DataFrame) -> DataFrame:
+    """(of, of_block, of_cell, of_row, start): the rows of a conversation before each ``row``, summed up level by level."""
+    sums = placed.groupBy("conversation_id", "block", "cell", "row").agg(F.count("*").alias("n"))
+    names = ["conversation_id", "block", "cell", "row"]
+    out = None
+    for depth in (3, 2, 1):
+        keys = names[: depth + 1]
+        upto = W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+        level = sums.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        level = level.select(F.col("conversation_id").alias("of"), *[F.col(k).alias(f"of_{k}") for k in keys[1:]], F.col("before").alias("start"))
+        if out is None:
+            out = level
+        else:
+            a, b = out.alias("a"), level.withColumnRenamed("start", "more").alias("b")
+            meets = F.col("a.of").eqNullSafe(F.col("b.of"))
+            for k in keys[1:]:
+                meets &= F.col(f"a.of_{k}") == F.col(f"b.of_{k}")
+            out = a.join(b, meets).select("a.of", *[f"a.of_{k}" for k in names[1:]], (F.col("start") + F.col("more")).alias("start"))
+    return out
 
 
 def format_chats(messages: DataFrame) -> DataFrame:
@@ -159,15 +186,14 @@ def format_chats(messages: DataFrame) -> DataFrame:
     chains = roots(replies).join(replies, ["conv_id", "turn"])
     placed = rows.select("conv_id", "turn", "role", "own", "n_quoted").join(chains, ["conv_id", "turn"], "left")
     placed = placed.withColumns({"conversation_id": F.coalesce("root_conv", "conv_id"), "root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0))})
-    placed = cut(placed.withColumns({"block": _range("root_turn"), "cell": _cell()}))
-    sizes = placed.groupBy("conversation_id", "block", "cell").agg(F.count("*").alias("n"))
-    before = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
-    blocks = sizes.groupBy("conversation_id", "block").agg(F.sum("n").alias("n"))
-    blocks = blocks.select(F.col("conversation_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before("conversation_id", "block")), F.lit(0)).alias("start"))
-    cells = sizes.withColumn("inside", F.coalesce(F.sum("n").over(before("conversation_id", "block", "cell")), F.lit(0)))
-    cells = cells.join(blocks, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("c", "b", F.col("cell").alias("at"), (F.col("start") + F.col("inside")).alias("start"))
-    nth = F.row_number().over(W.partitionBy("conversation_id", "block", "cell").orderBy(F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own"))
-    numbered = placed.withColumn("nth", nth - 1).join(cells, F.col("conversation_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("cell") == F.col("at")))
+    placed = cut(placed.withColumns(_ranges()))
+    starts = _starts(placed)
+    levels_ = ["block", "cell", "row"]
+    nth = F.row_number().over(W.partitionBy("conversation_id", *levels_).orderBy(F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), "role", "own"))
+    meets = F.col("conversation_id").eqNullSafe(F.col("of"))
+    for level in levels_:
+        meets &= F.col(level) == F.col(f"of_{level}")
+    numbered = placed.withColumn("nth", nth - 1).join(starts, meets)
     return numbered.select(
         "conv_id", "turn", "role", "conversation_id", (F.col("start") + F.col("nth")).cast("long").alias("place"), "depth",
         F.col("to_conv").alias("reply_conv"), F.col("to_turn").alias("reply_turn"), "n_quoted", F.col("own").alias("text"),

@@ -2,17 +2,17 @@
 
 A group's vector is its share of all bytes, tokens and rows. Groups are taken from the largest down, and
 each goes to the shard for which the dot product of this vector with the shard's residual capacity is
-highest. To do this for any number of groups, it is done in levels: cells of some thousand groups pack
-them into many small bundles, bundles are packed as groups are, until those left fit one task. So no task
-and no driver ever holds more than ``CELL`` groups, and the last level, which has small bundles, evens out
-what the cells leave.
+highest. To do this for any number of groups, it is always done in levels: cells of at most ``CELL`` groups or so pack
+them into ``BUNDLES`` small bundles each, and bundles are packed as groups are, until those left fit one task, which packs them into the
+shards. So no task and no driver ever holds more, and the last level, which has small bundles, evens out what the cells leave.
 
 A group with over a quarter of a shard would upset the balance and would be a hot key: it is split by
 the hash of the document ids into pieces of at most a sixteenth of a shard. There are at most
 ``12 * shards`` such groups (the three shares add up to 3), so these alone are broadcast.
 
 Defined results: null text has no bytes, is a group of its own and its CRC-32 is 0; equal rows are
-separate rows with slots of their own; a null doc_id is an id like any other; an empty table gives none.
+separate rows with slots of their own; a null doc_id is an id like any other; texts are measured whole however long they are; other
+columns take no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -54,18 +54,18 @@ def _packer(keys: list[str], n_bins: int):
 
 def assign(items: DataFrame, keys: list[str], n_shards: int) -> DataFrame:
     """``items``: one row for each of ``keys``, with MEASURES -> the keys and ``shard``."""
-    n = items.count()
-    cells = -(-n // CELL)
+    cells = max(1, -(-items.count() // CELL))
     fields = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in [*keys, *MEASURES]) + ", placed_in bigint"
-    if cells <= 1:
-        one = items.withColumn("cell", F.lit(0)).groupBy("cell").applyInPandas(_packer(keys, n_shards), schema)
-        return one.select(*keys, F.col("placed_in").cast("int").alias("shard"))
     dealt = items.withColumn("cell", F.pmod(F.xxhash64(*keys), F.lit(cells)))
     placed = cut(dealt.groupBy("cell").applyInPandas(_packer(keys, BUNDLES), schema).withColumnRenamed("placed_in", "into"))
     bundles = cut(placed.groupBy(F.col("into").alias("bundle")).agg(*[F.sum(m).alias(m) for m in MEASURES]))
-    shards = assign(bundles, ["bundle"], n_shards).withColumnRenamed("bundle", "of")
-    return placed.join(shards, F.col("into") == F.col("of")).select(*keys, "shard")
+    if cells * BUNDLES > CELL:
+        shards = assign(bundles, ["bundle"], n_shards)
+    else:
+        one = bundles.withColumn("cell", F.lit(0)).groupBy("cell").applyInPandas(_packer(["bundle"], n_shards), f"bundle bigint, {', '.join(f'{m} bigint' for m in MEASURES)}, placed_in bigint")
+        shards = one.select("bundle", F.col("placed_in").cast("int").alias("shard"))
+    return placed.join(shards.withColumnRenamed("bundle", "of"), F.col("into") == F.col("of")).select(*keys, "shard")
 
 
 def shard(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

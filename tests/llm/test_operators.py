@@ -276,6 +276,31 @@ def test_media_sniffing(spark):
     assert not got[3].media and not got[4].media
 
 
+def test_false_starts_are_read_once(spark):
+    import time
+
+    find = media.automaton()
+    took = []
+    for n in (20_000, 200_000):
+        value = b"%PDF-PK\x03\x04" * n
+        began = time.perf_counter()
+        assert media.sniff(value, find) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+    pdf = b"%PDF-1.4 startxref 9 %%EOF"
+    assert media.sniff(b"%PDF-x " + pdf + b"..", find) == [(0, 7 + len(pdf), "application/pdf")] and media.sniff(b"%PDF- %%EOF startxref", find) == []
+
+
+def test_media_features_by_brute_force(spark):
+    texts = ["", "abc", "é" * 40, "GIF89a no picture"]
+    got = {r.doc_id: r for r in media.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        x = list(raw + bytes(-len(raw) % 64 if raw else 64))
+        want = f"type=audio/wav;rate=8000;samples={len(x)};sum={sum(x)};power={sum((b - 128) ** 2 for b in x)};crossings={sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))};values={len(set(x))};embedded=none"
+        assert got[i].feature == want
+
+
 def test_media_round_trip(docs, none, rows):
     got = media.store_texts(docs, keep=True).collect()
     want = Counter()
@@ -299,6 +324,21 @@ def test_sharding(docs, none, rows, monkeypatch):
     assert sharding.shard(none).count() == 0
 
 
+def test_shards_are_even_and_keep_groups_together(spark, monkeypatch):
+    """Equal bytes on both sides of CELL; equal texts stay together unless they are over a quarter of a shard."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, rng.randrange(5, 90))) for i in range(1200)]
+    rows += [(2000 + i, "a copy of a text") for i in range(30)] + [(3000 + i, rows[5][1] * 3) for i in range(150)] + [(4000 + i, None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for cell, bundles in ((20_000, 512), (100, 40)):
+        monkeypatch.setattr(sharding, "CELL", cell)
+        monkeypatch.setattr(sharding, "BUNDLES", bundles)
+        got = sharding.shard(docs, 8).collect()
+        loads = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+        assert max(loads) <= 1.05 * sum(loads) / 8
+        assert len({r.shard for r in got if 2000 <= r.doc_id < 2030}) == 1
+
+
 def test_vectors_fill_bins_evenly():
     v = np.random.default_rng(0).exponential(size=(3000, 3)) + 0.1
     bins = sharding.place(v, 16)
@@ -330,6 +370,9 @@ def test_nearest_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert ann.nearest(few.limit(0)).count() == 0
+    far = [(0, [1e200, 1e-9]), (1, [1.0, 1e-12]), (2, [1.0, 1e-5]), (3, [1e300, -1e300])]
+    got = ann.nearest(spark.createDataFrame(far, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3)] and abs(got[2].score - 0.5**0.5) < 1e-15
 
 
 def test_mixing(spark, docs, none, rows):
@@ -458,6 +501,29 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_replies_to_one_message_stand_in_order(spark, monkeypatch):
+    """Many replies to one message, in many cells; conversations whose turns fill several blocks; rows without a turn."""
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    line = "a line that very many people quote"
+    rows = [(0, t, "user", line if t == 2 else f"some turn {t} here") for t in range(11)] + [(c, t, "user", f"> {line}\nreply {c} {t}") for c in range(1, 30) for t in (5, 1)] + [(0, None, "user", f"lost {i % 3}") for i in range(7)]
+    random.Random(2).shuffle(rows)
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    zero = sorted((r for r in got if r.conversation_id == 0), key=lambda r: r.place)
+    assert [r.place for r in zero] == list(range(len(rows)))
+    want = [(0, 0), (0, 1), (0, 2), *((c, t) for c in range(1, 30) for t in (1, 5)), *((0, t) for t in range(3, 11)), *[(0, None)] * 7]
+    assert [(r.conv_id, r.turn) for r in zero] == want
+
+
+def test_levels_of_lines_by_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "\n".join(rng.choice(["> a", ">> b", "", "  ", "Ann wrote:", "> Bob writes:", "own words"]) for _ in range(rng.randrange(12)))
+        plain = [(m.group().count(">"), x[m.end() :]) if (m := chat._MARKS.match(x)) else (0, x) for x in text.split("\n")]
+        want = [(-1, x) if chat._SAID.search(x) and next((b for b, rest in plain[i + 1 :] if b or rest.strip()), 0) > a else (a, x) for i, (a, x) in enumerate(plain)]
+        assert chat.levels(text) == want
+    assert len(chat.levels("Ann wrote:\n" * 200_000)) == 200_001
+
+
 def test_chats_link_short_quotes_within_a_conversation(spark):
     rows = [(0, 0, "user", "Yes"), (1, 0, "user", "shall we begin with it"), (1, 1, "assistant", "Sounds good"), (1, 2, "user", "> sounds  GOOD\nthen let us"), (1, 3, "assistant", "> Yes\nno such thing here"), (1, 4, "user", "> Later\nquoted too soon"), (1, 5, "user", "Later")]
     at = {(r.conv_id, r.turn): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
