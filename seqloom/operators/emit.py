@@ -52,6 +52,8 @@ def lines(records: DataFrame, reads: DataFrame, contig_table: DataFrame, o: Opti
     """
     names = contig_table.select("rid", F.col("name").alias("rname"))
     placed = records.join(names, "rid", "left")
+    if mates:
+        placed = placed.join(names.select(F.col("rid").alias("m_rid"), F.col("rname").alias("m_rname")), "m_rid", "left")
     primary = ~(F.col("flag").bitwiseAND(0x100) > 0)
     strand_mark = F.when(F.col("flag").bitwiseAND(0x10) > 0, "-").otherwise("+")
     own_sa = F.concat_ws(",", "rname", (F.col("pos") + 1).cast("string"), strand_mark, cigar_string(F.col("cigar")), F.col("mapq").cast("string"), F.col("nm").cast("string"))

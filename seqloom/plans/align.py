@@ -49,6 +49,12 @@ def build_index(seqs: DataFrame, kmer: int = 14, alt: DataFrame | None = None) -
     return Index(table, chunks, refindex.kmer_positions(chunks, kmer), total, kmer)
 
 
+def near(reads: DataFrame, index: Index) -> DataFrame:
+    """The index's places of k-mers that the reads have, on either strand: one pass over the index serves all of a run's steps."""
+    both = reads.select("read_id", "seq").unionByName(reads.select("read_id", encode.revcomp(F.col("seq")).alias("seq")))
+    return cut(index.positions.join(seeding.read_kmers(both, index.kmer).select("kmer").distinct(), "kmer", "left_semi"))
+
+
 def smem_seeds(reads: DataFrame, matches: DataFrame, o: Options) -> DataFrame:
     """Seeds of three rounds: super-maximal matches, rarer ones through the middles of long ones, and short rare ones."""
     first = cut(seeding.occurrences(seeding.smems(matches, min_len=o.min_seed_len), matches))
@@ -67,12 +73,13 @@ def pivot_seeds(reads: DataFrame, index: Index, o: Options) -> tuple[DataFrame,
     places take the walk's place for that.
     """
     k = index.kmer
+    positions = near(reads, index)
     # Only the k-mers at reads' ends are counted.
     ends = reads.where(F.length("seq") >= k).select(F.explode(F.array(F.substr("seq", F.length("seq") - (k - 1), F.lit(k)), F.substr(encode.revcomp(F.col("seq")), F.length("seq") - (k - 1), F.lit(k)))).alias("kmer")).distinct()
-    strands = seeding.choose_strand(reads, index.positions.join(ends, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("occ")), k) if o.choose_strand else reads.select("read_id", F.lit(0).alias("strand"))
+    strands = seeding.choose_strand(reads, positions.join(ends, "kmer", "left_semi").groupBy("kmer").agg(F.count("*").alias("occ")), k) if o.choose_strand else reads.select("read_id", F.lit(0).alias("strand"))
     strands = cut(strands)
     turned = cut(seeding.oriented(reads, strands))
-    matches = cut(seeding.maximal_matches(turned, index.positions, k))
+    matches = cut(seeding.maximal_matches(turned, positions, k))
     table = cut(seeding.pivots(matches, k))
     walked = cut(seeding.walk(turned, table, k=k, step=o.step, min_len=o.min_seed_len, cap=o.seed_cap))
     short = {"k": k, "step": o.step, "min_len": o.min_seed_len + 1, "limit": o.max_mem_intv}
@@ -86,7 +93,7 @@ def pivot_seeds(reads: DataFrame, index: Index, o: Options) -> tuple[DataFrame,
     again = open_ if o.both_strands else open_.join(covered, ["read_id", "gap_start", "gap_end"], "left_anti")
     # The other strand: the reference holds both, so its pivots are those of the reverse complement of the turned read.
     back = seeding.oriented(reads, strands, swap=True)
-    back_table = seeding.pivots(seeding.maximal_matches(back.join(again.select("read_id").distinct(), "read_id", "left_semi"), index.positions, k), k)
+    back_table = seeding.pivots(seeding.maximal_matches(back.join(again.select("read_id").distinct(), "read_id", "left_semi"), positions, k), k)
     lengths = reads.select("read_id", F.length("seq").alias("n"))
     other = seeding.fill_gaps(again.join(lengths, "read_id"), back_table, strand=1, **fill)
     other = other.join(lengths, "read_id").withColumn("qbeg", F.col("n") - F.col("qbeg") - F.col("len"))
@@ -104,7 +111,7 @@ def regions(reads: DataFrame, index: Index, o: Options, seeder: str = "pivot") -
         places = hits.expand(seeds, matches, o.max_occ).join(flip, "read_id").join(index.contigs.select("rid", F.col("len").alias("size")), "rid")
         places = places.select("read_id", F.when(F.col("turned") == 1, F.col("n") - F.col("qbeg") - F.col("len")).otherwise(F.col("qbeg")).cast("int").alias("qbeg"), "len", "occ", "rid", F.col("strand").bitwiseXOR(F.col("turned")).alias("strand"), F.when(F.col("turned") == 1, F.col("size") - F.col("pos") - F.col("len")).otherwise(F.col("pos")).alias("pos"))
     elif seeder == "smem":
-        matches = cut(seeding.maximal_matches(reads, index.positions, index.kmer))
+        matches = cut(seeding.maximal_matches(reads, near(reads, index), index.kmer))
         places = hits.expand(smem_seeds(reads, matches, o), matches, o.max_occ)
     else:
         raise ValueError(f"there is no seeder {seeder}")
@@ -138,6 +145,12 @@ def align_pairs(mates: DataFrame, index: Index, o: Options | None = None, seeder
     return pairing.with_mates(cut(pairing.paired_end(found, mates, model, index.total, o)), mates)
 
 
-def sam(records: DataFrame, reads: DataFrame, index: Index, o: Options | None = None) -> DataFrame:
-    """(read_id, nth, line) for ``reads(read_id, name, seq, qual)``."""
-    return emit.lines(records, reads, index.contigs, o or Options())
+def sam(records: DataFrame, reads: DataFrame, index: Index, o: Options | None = None, mates: bool = False) -> DataFrame:
+    """(read_id, nth, line) for ``reads(read_id, name, seq, qual)``; with ``mates`` for the records of ``align_pairs``."""
+    return emit.lines(records, reads, index.contigs, o or Options(), mates)
+
+
+def sam_pairs(mates: DataFrame, index: Index, o: Options | None = None, **how) -> DataFrame:
+    """(read_id, nth, line) for ``mates(pair_id, mate, name, seq, qual)``: read 2 i and 2 i + 1 are the mates of pair i."""
+    reads = mates.withColumn("read_id", 2 * F.col("pair_id") + F.col("mate"))
+    return sam(align_pairs(mates, index, o, **how), reads, index, o, mates=True)

@@ -174,7 +174,8 @@ def smems(spark, d):
 def reseeds(spark, d):
     m = _matches(spark, d)
     points = seeding.reseed_points(seeding.occurrences(seeding.smems(m), m))
-    return seeding.occurrences(seeding.smems(m, through=points), m)
+    # Down to the k-mer's length: of 19 bases and more these tables have none.
+    return seeding.occurrences(seeding.smems(m, min_len=K, through=points), m)
 
 
 def forward_seeds(spark, d):
@@ -285,10 +286,16 @@ def sam_text(spark, d):
     return plans.sam(plans.align(r, index, O), named, index, O)
 
 
+def paired_sam_text(spark, d):
+    r = reads(spark, d)
+    mates = r.select(F.floor(F.col("read_id") / 2).alias("pair_id"), (F.col("read_id") % 2).cast("int").alias("mate"), F.concat(F.lit("p"), F.floor(F.col("read_id") / 2).cast("string")).alias("name"), "seq", F.lit(None).cast("string").alias("qual"))
+    return plans.sam_pairs(mates, _index(spark, d), O)
+
+
 QUERIES = {f.__name__: f for f in (
     maximal_exact_matches, clean_reads, filter_counts, dropped_base_tally, paired_filter, pair_filter_counts, revcomp, two_step_pairs, contig_offsets, ambiguity_runs, prepared_counts, kmer_count, kmer_class, kmer_symmetry,
     alt_contigs, strand_choice, seed_rule_a, seed_rule_a2, seed_rule_c, seed_rule_c2, fixed_pivots, seed_walk, coverage_gaps, gap_seeds, smems, reseeds, forward_seeds, hit_expansion, pos_to_contig, chain_weight, insert_size_stats, mapq_single_end,
-    eval_confusion, eval_metrics, eval_quality, eval_differences, chains, extensions, alignments, alignments_smem, paired_alignments, sam_text,
+    eval_confusion, eval_metrics, eval_quality, eval_differences, chains, extensions, alignments, alignments_smem, paired_alignments, sam_text, paired_sam_text,
 )}
 
 # SQL. Common table expressions shared by several queries.
@@ -337,12 +344,14 @@ SQL = {
     "contig_offsets": f"WITH {_OFFS} SELECT c.*, coalesce(len(regexp_extract_all(seq, 'N+')), 0)::BIGINT AS n_ambs FROM c JOIN s USING (rid)",
     "ambiguity_runs": f"""WITH {_SEQS}, n AS (SELECT rid, i FROM s, range(0, length(seq)) t(i) WHERE substr(seq, i::INT + 1, 1) = 'N'), g AS (SELECT rid, i, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM n)
  SELECT rid, min(i)::BIGINT AS start, count(*)::BIGINT AS len, 'N' AS amb FROM g GROUP BY rid, run""",
-    "prepared_counts": f"WITH {_SEQS} SELECT sum(length(seq))::BIGINT AS n_bases, sum(length(seq) - length(replace(seq, 'N', '')))::BIGINT AS n_replaced, 0::BIGINT AS n_other FROM s",
+    "prepared_counts": f"WITH {_SEQS} SELECT sum(length(seq))::BIGINT AS n_bases, sum(length(seq) - length(replace(seq, 'N', '')))::BIGINT AS n_replaced, sum(length(regexp_replace(seq, '[ACGTN]', '', 'g')))::BIGINT AS n_other FROM s",
     "kmer_count": f"WITH {_KMERS} SELECT kmer, count(*) AS occ FROM k GROUP BY kmer",
     "kmer_class": f"WITH {_KMERS}, c AS (SELECT kmer, count(*) AS occ FROM k GROUP BY kmer) SELECT CASE WHEN occ = 1 THEN 'unique' ELSE 'multi' END AS class, count(*) AS n_kmers, sum(occ)::BIGINT AS n_places FROM c GROUP BY 1",
-    "kmer_symmetry": f"WITH {_KMERS} SELECT count(DISTINCT kmer) AS n_kmers, count(*) AS n_places, 0::BIGINT AS n_unequal FROM k",
+    "kmer_symmetry": f"""WITH {_KMERS}, c AS (SELECT kmer, count(*) AS occ FROM k GROUP BY kmer), v AS (SELECT {_RC.format('kmer')} AS kmer, occ AS back FROM c)
+ SELECT count(*) AS n_kmers, sum(occ)::BIGINT AS n_places, count(*) FILTER (occ IS DISTINCT FROM back)::BIGINT AS n_unequal FROM c LEFT JOIN v USING (kmer)""",
     "alt_contigs": "SELECT doc_id AS rid, 'd' || doc_id AS name, coalesce(source = 'src0', false) AS is_alt FROM documents",
-    "strand_choice": f"""WITH {_KMERS}, {_READS}, c AS (SELECT kmer, count(*) AS occ FROM k GROUP BY kmer), b AS (SELECT read_id, right(seq, {K}) AS f, right({_RC.format('seq')}, {K}) AS v FROM r WHERE length(seq) >= {K}),
+    "strand_choice": f"""WITH {_KMERS}, {_READS}, b AS (SELECT read_id, right(seq, {K}) AS f, right({_RC.format('seq')}, {K}) AS v FROM r WHERE length(seq) >= {K}),
+ c AS (SELECT kmer, count(*) AS occ FROM k WHERE kmer IN (SELECT f FROM b UNION SELECT v FROM b) GROUP BY kmer),
  o AS (SELECT read_id, coalesce(x.occ, 0) AS occ_fwd, coalesce(y.occ, 0) AS occ_rev FROM b LEFT JOIN c x ON x.kmer = f LEFT JOIN c y ON y.kmer = v) SELECT *, (occ_rev > 0 AND (occ_fwd = 0 OR occ_rev < occ_fwd))::INT AS strand FROM o""",
     "seed_rule_a": f"{_LCE} SELECT read_id, e, l[1] AS len, len(list_filter(l, lambda z: z = l[1])) AS occ FROM p",
     "seed_rule_a2": f"""{_LCE}, a AS (SELECT *, CASE WHEN len(l) = 1 THEN {K} ELSE {K} + 2 * (floor((l[2] - {K}) / 2.0)::INT + 1) END AS u, ({K} + 2 * floor((l[1] - {K}) / 2.0))::INT AS t FROM p)
@@ -358,7 +367,7 @@ SQL = {
     "reseeds": f"""{_MEMS}, {_SMEM}, oc AS ({_OCC.format('sm')}), pt AS (SELECT DISTINCT read_id, (2 * qbeg + len) // 2 AS x, occ AS s FROM oc WHERE len >= 28 AND occ <= 10),
  s2 AS (SELECT m.read_id, x, s, t.m::INT AS m, qbeg + len - 1 AS fin FROM m JOIN pt ON pt.read_id = m.read_id AND x >= qbeg AND x <= qbeg + len - 1, range(qbeg, x + 1) t(m)),
  r2 AS (SELECT read_id, x, m, list(fin ORDER BY fin DESC)[s + 1] AS fin FROM s2 GROUP BY read_id, x, m, s),
- k2 AS (SELECT DISTINCT read_id, m AS qbeg, (fin - m + 1)::INT AS len FROM (SELECT *, max(fin) OVER (PARTITION BY read_id, x ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r2 WHERE fin IS NOT NULL) WHERE (before IS NULL OR fin > before) AND fin - m + 1 >= 19) {_OCC.format('k2')}""",
+ k2 AS (SELECT DISTINCT read_id, m AS qbeg, (fin - m + 1)::INT AS len FROM (SELECT *, max(fin) OVER (PARTITION BY read_id, x ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r2 WHERE fin IS NOT NULL) WHERE (before IS NULL OR fin > before) AND fin - m + 1 >= {K}) {_OCC.format('k2')}""",
     "hit_expansion": f"""{_MEMS}, {_SMEM}, pl AS (SELECT z.read_id, z.qbeg, z.len, rid, strand, rbeg + z.qbeg - m.qbeg AS pos FROM sm z JOIN m ON m.read_id = z.read_id AND m.qbeg <= z.qbeg AND m.qbeg + m.len >= z.qbeg + z.len),
  rk AS (SELECT *, row_number() OVER (PARTITION BY read_id, qbeg, len ORDER BY rid, strand, pos) - 1 AS nth, count(*) OVER (PARTITION BY read_id, qbeg, len) AS w FROM pl),
  tk AS (SELECT * FROM rk WHERE nth % greatest(1, w // 500) = 0 AND nth // greatest(1, w // 500) < 500) SELECT read_id, qbeg, len, count(*) OVER (PARTITION BY read_id, qbeg, len) AS occ, rid, strand, pos FROM tk""",

@@ -1,12 +1,13 @@
 """Sequence operators on small generated genomes."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import encode
-from seqloom.operators import chaining, emit, evaluate, filters, hits, mapping, pairing, refindex, seeding
+from seqloom.operators import chaining, dp, emit, evaluate, filters, hits, mapping, pairing, refindex, seeding
 from seqloom.operators.chaining import Seed
 from seqloom.options import Options
 from seqloom.plans import align as plans
@@ -121,10 +122,54 @@ def test_chains():
     hit = lambda q, r, n: (Seed(q, r, n, 1), 0, 0, 0, 10000, False)
     chains = chaining.chain([hit(0, 100, 30), hit(40, 142, 30), hit(10, 110, 10), hit(0, 5000, 25)], o)
     assert [(len(c.seeds), c.weight) for c in chains] == [(2, 60), (1, 25)]
-    assert [c.kept for c in chaining.select_chains(chains, o)] == [3, 1] or [c.weight for c in chaining.select_chains(chains, o)] == [60, 25]
+    assert [(c.kept, c.weight) for c in chaining.select_chains(chains, o)] == [(3, 60), (1, 25)]
     assert chaining.covered([(0, 10), (5, 10), (30, 5)]) == 20
 
 
+def test_chains_are_selected_as_the_rule_says():
+    """Against the rule applied pair by pair."""
+    rng = random.Random(6)
+    for trial in range(200):
+        o = replace(Options(), max_chain_extend=rng.choice([0, 1, 3, 1 << 30]), min_chain_weight=rng.choice([0, 12]))
+        chains = []
+        for _ in range(rng.randrange(8)):
+            beg, n = rng.randrange(100), rng.randrange(5, 120)
+            chains.append(chaining.Chain(0, 0, 0, 10**6, [Seed(beg, 500 + beg, n, 1)], rng.random() < 0.3, weight=n))
+        order = sorted((c for c in chains if c.weight >= o.min_chain_weight), key=lambda c: -c.weight)
+        ends = [(c.beg, c.end) for c in order]
+        want, firsts = {}, {}
+        for i, c in enumerate(order):
+            want[i] = 3
+            for j in range(i):
+                common, least = min(ends[i][1], ends[j][1]) - max(ends[i][0], ends[j][0]), min(ends[i][1] - ends[i][0], ends[j][1] - ends[j][0])
+                if want[j] and common > 0 and common >= least / 2 and not (order[j].is_alt and not c.is_alt):
+                    firsts.setdefault(j, i)
+                    want[i] = 2
+                    if 2 * c.weight < order[j].weight and order[j].weight - c.weight >= 38:
+                        want[i] = 0
+                        break
+        want |= {i: 1 for i in firsts.values()}
+        got = chaining.select_chains(chains, o)
+        extra = [i for i in want if want[i] in (1, 2)][: o.max_chain_extend]
+        assert [id(c) for c in got] == [id(order[i]) for i in sorted(want) if want[i] == 3 or i in extra]
+
+
+def test_regions_that_overlap_or_follow_each_other():
+    text = dna(400, 3)
+    read = text[50:150] + text[154:254]  # four bases of the reference are missing
+    o = Options()
+    of = lambda rb, re, qb, qe, score: mapping.Region(0, 0, 0, 400, rb, re, qb, qe, score, score, 0, score, 0.0, False, text[rb:re])
+    one, other = of(50, 150, 0, 100, 100), of(154, 254, 100, 200, 100)
+    seq = dp.codes(read)
+    assert [(r.rb, r.re) for r in mapping.separate([one, other], seq, o)] == [(50, 150), (154, 254)]  # the gap's text isn't known
+    got = mapping.separate([one, other], seq, o, [(0, 0, 40, text[40:300])])
+    assert [(r.rb, r.re, r.qb, r.qe, r.target, r.score) for r in got] == [(50, 254, 0, 200, text[50:254], 190)]
+    assert len(mapping.separate([one, of(174, 274, 100, 200, 100)], seq, o, [(0, 0, 40, text[40:300])])) == 2  # too far apart
+    inner = of(51, 150, 1, 100, 40)
+    assert mapping.separate([one, inner], seq, o) == [one] and mapping.separate([inner, one, of(50, 150, 0, 100, 100)], seq, o) == [one]
+    assert mapping.tie(0, 0) != mapping.tie(0, 1) and 0 <= mapping.tie(2**63, 5) < 2**64
+
+
 @pytest.mark.parametrize("seeder", ["pivot", "smem"])
 def test_simulated_reads(spark, genome, index, seeder):
     rng = random.Random(8)
@@ -169,6 +214,28 @@ def test_pairs(spark, genome, index):
     assert all(f & 0x2 for (p, _), f in flags.items() if p) and all(f & (0x80 if m else 0x40) for (_, m), f in flags.items())
 
 
+def test_paired_sam(spark, genome, index):
+    rng, rows = random.Random(14), []
+    for i in range(24):
+        text = genome[i % 2 * 2][1][:1500]
+        size = 350 + rng.randrange(-40, 40)
+        pos = rng.randrange(0, len(text) - size)
+        rows += [(i, 0, f"p{i}", text[pos : pos + 100], "I" * 100), (i, 1, f"p{i}", rc(text[pos + size - 100 : pos + size]), "J" * 100)]
+    rows[1] = (0, 1, "p0", dna(100, 55), "J" * 100)
+    rows[2:4] = [(1, 0, "p1", dna(100, 56), None), (1, 1, "p1", dna(100, 57), None)]
+    mates = spark.createDataFrame(rows, "pair_id bigint, mate int, name string, seq string, qual string")
+    got = {(r.read_id, r.nth): r.line.split("\t") for r in plans.sam_pairs(mates, index).collect()}
+    assert {k for k in got if not k[1]} == {(i, 0) for i in range(48)}
+    for i in range(2, 24):
+        a, b = got[2 * i, 0], got[2 * i + 1, 0]
+        assert a[0] == b[0] == f"p{i}" and int(a[1]) & 0x43 == 0x43 and int(b[1]) & 0x83 == 0x83 and a[6] == b[6] == "="
+        assert a[7] == b[3] and b[7] == a[3] and a[2] == b[2] and int(a[8]) == -int(b[8]) and abs(int(a[8])) == max(int(a[3]), int(b[3])) + 100 - min(int(a[3]), int(b[3]))
+        assert (int(a[1]) & 0x20 > 0) == (int(b[1]) & 0x10 > 0) and f"MC:Z:{b[5]}" in a and f"MC:Z:{a[5]}" in b
+    near, lost = got[0, 0], got[1, 0]
+    assert int(near[1]) & 0x9 == 0x9 and not int(near[1]) & 0x2 and int(lost[1]) & 0x5 == 0x5 and lost[2:4] == near[2:4] and lost[5] == "*" and lost[6] == "=" and lost[7] == near[3]
+    assert [got[2, 0][k] for k in (2, 3, 5, 6, 7, 8)] == ["*", "0", "*", "*", "0", "0"] and int(got[2, 0][1]) == 0x4D and int(got[3, 0][1]) == 0x8D
+
+
 def test_insert_stats(spark):
     sizes = [(1, 300 + i % 21) for i in range(200)] + [(2, 5)] * 3 + [(1, 9000)]
     got = {r["dir"]: r for r in pairing.insert_stats(spark.createDataFrame(sizes, "dir int, dist bigint")).collect()}
