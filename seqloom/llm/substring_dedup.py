@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import partitions, table
+from .common import cut, partitions, table
 
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text that a task works on at once.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 _KINDS = ["<u8", "<u4", "<u4", "u1", "u1", "<u8", "<i8", "<u4"]
 #: Of these, what compresses: places and ids, as steps from one to the next.
 _STEPS = (1, 2, 3, 4, 6)
@@ -185,7 +185,8 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         return pa.concat_tables(out)
 
     sent = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("tag")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(send, "part int, doc_id bigint, tag bigint, value binary")
-    return sent.groupBy("part").applyInArrow(look_up, "doc_id bigint, tag bigint, value binary")
+    # Kept, so that the index's shuffle is gone before texts are shuffled to meet their spans.
+    return cut(sent.groupBy("part").applyInArrow(look_up, "doc_id bigint, tag bigint, value binary"))
 
 
 def parse(runs: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
