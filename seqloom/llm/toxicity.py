@@ -5,8 +5,9 @@ at both ends), a text the mean of its words and some blank ones, and a linear so
 embeddings and the softmax are trained together by stochastic gradients in NumPy. A misspelling that was
 never seen shares n-grams, so also vectors, with the word it stands for.
 
-The score of a text is linear in its words up to the softmax. So a worker keeps, for each word it has
-met, one number: the difference that the word makes to the two logits. Texts are scored whole.
+The score of a text is linear in its words up to the softmax, so scoring needs one number for each bucket: the difference that it makes to
+the two logits. Words and n-grams are cut, hashed and added up for some hundred thousand characters at a time in NumPy; each
+distinct word of these is looked up once. Texts are scored whole.
 
 The classifier is fitted on a bounded sample of labelled rows, ``SAMPLE`` of each class at most, by the hash
 of their ids; the softmax's bias makes up for the classes' shares. Training runs in one task.
@@ -19,10 +20,8 @@ columns stay as they are, one named as the score gives way to it; an empty table
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
+import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, memory, table
+from . import bytewise as B
+from .common import crc_mod, cut, table
 
 #: Labelled rows of each class that are fitted on, at most.
 SAMPLE = {1: 2500, 0: 4500}
 BUCKETS, DIMENSIONS = 1 << 20, 8
 #: Lengths of character n-grams, counted with the marks at a word's ends: a mark and three letters are the shortest.
 GRAMS = (4, 5, 6)
+SALT = 0x5851F42D4C957F2D
 #: Passes over the sample, and updates at least; rows of an update, and the rate.
 EPOCHS, UPDATES, BATCH, RATE = 10, 400, 64, 0.5
 #: Size of embeddings at the start; and what Adagrad's sums of squares begin with. Every bucket that is seen counts, but with
@@ -44,48 +45,93 @@ EPOCHS, UPDATES, BATCH, RATE = 10, 400, 64, 0.5
 START, DAMPING = 0.01, 0.005
 #: Words of no meaning that every text's mean holds besides its own, lest a few words decide alone.
 PADDING = 20
-#: Words whose weight a worker keeps.
-REMEMBERED = 200_000
-
-
-def lower(word: bytes) -> bytes:
-    """A word of UTF-8 in lower case, as Unicode has it."""
-    return word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode("utf-8", "surrogatepass")
-
-
-def buckets(word: bytes) -> list[int]:
-    """The buckets of a word in lower case: its own and those of its character n-grams."""
-    text = b"<" + word + b">"
-    if word.isascii():  # a character is a byte
-        parts = {text}
-        for n in GRAMS:
-            parts.update([text[i : i + n] for i in range(len(text) - n + 1)])
-    else:
-        letters = text.decode("utf-8", "surrogatepass")
-        parts = {text}
-        for n in GRAMS:
-            parts.update([letters[i : i + n].encode("utf-8", "surrogatepass") for i in range(len(letters) - n + 1)])
-    return [crc32(x) & (BUCKETS - 1) for x in parts]
+#: Characters that are cut into words at once.
+STEP = 1 << 19
+_BLANK = re.compile(r"[ \t\n\v\f\r]")
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """(stretches of texts, the row of each) in blocks of about STEP characters; a long text is cut at blanks."""
+    parts, rows, size = [], [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = at + STEP - size
+            if end < len(text):
+                blank = _BLANK.search(text, end)
+                end = blank.start() if blank else len(text)
+            parts.append(text[at:end])
+            rows.append(row)
+            size += end - at
+            at = end
+            if size >= STEP:
+                yield parts, rows
+                parts, rows, size = [], [], 0
+    if parts:
+        yield parts, rows
+
+
+def words_of(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Part and distinct word of each word; a hash of each distinct word; and (distinct word, bucket) for its own bucket and all its n-grams.
+
+    Words are runs of anything but ASCII white space, in Unicode's lower case, between two marks.
+    """
+    lowered = [p.lower() for p in parts]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    text = (codes != 32) & ((codes < 9) | (codes > 13))
+    edge = np.diff(text.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    part = np.searchsorted(np.cumsum([len(p) + 1 for p in lowered]), starts, side="right")
+    numbers = B.mix(codes.astype(np.uint64) + np.uint64(SALT))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(numbers * B.powers(B._INVERSE, len(numbers))[: len(numbers)], dtype=np.uint64)])
+        hashes = B.mix((sums[ends] - sums[starts]) * B.powers(B._BASE, len(numbers) + 1)[starts] + (ends - starts).astype(np.uint64))
+    keys, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    # The distinct words side by side, each between its marks.
+    sizes = (ends - starts)[first] + 2
+    begin = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(keys)), sizes)
+    marked = np.full(len(of), B.mix(np.array([SALT], dtype=np.uint64))[0])
+    inner = np.ones(len(of), dtype=bool)
+    inner[begin] = inner[begin + sizes - 1] = False
+    marked[inner] = numbers[(starts[first] - begin - 1)[of[inner]] + np.flatnonzero(inner)]
+    left = (begin + sizes)[of] - np.arange(len(of))  # characters from here to the word's end
+    owners, buckets = [np.arange(len(keys))], [keys]
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        owners.append(of[at])
+        buckets.append(B.hash_runs(marked, n)[at] ^ np.uint64(n))
+    return part, word, keys, np.concatenate(owners), (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
 class Bags:
     """Texts as distinct words with their shares in the text's mean; each word's buckets stand once in one array."""
 
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.buckets, self.begin = array("i"), array("q", [0])
-
-    def bag(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(map(lower, text.encode("utf-8", "surrogatepass").split()))
-        ids = array("i")
-        for word in counts:
-            at = self.words.get(word)
-            if at is None:
-                at = self.words[word] = len(self.words)
-                self.buckets.extend(buckets(word))
-                self.begin.append(len(self.buckets))
-            ids.append(at)
-        return np.array(ids, dtype=np.int32), (np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) / (counts.total() + PADDING)).astype(np.float32)
+    def __init__(self, texts: list[str | None]):
+        totals, rows, words, counts, of, buckets = np.zeros(len(texts)), [], [], [], [], []
+        known = np.zeros(0, dtype=np.uint64)
+        for parts, part_rows in pieces(texts):
+            part, word, keys, owner, bucket = words_of(parts)
+            row = np.array(part_rows)[part]
+            totals += np.bincount(row, minlength=len(texts))
+            pair, n = np.unique(row * len(keys) + word, return_counts=True)
+            rows.append(pair // max(1, len(keys)))
+            words.append(keys[pair % max(1, len(keys))])
+            counts.append(n)
+            new = ~np.isin(keys, known)[owner]
+            of.append(keys[owner[new]])
+            buckets.append(bucket[new])
+            known = np.union1d(known, keys)
+        join = lambda x, kind: np.concatenate([np.zeros(0, dtype=kind), *x])
+        place = lambda x: np.searchsorted(known, x).astype(np.int32)
+        of, buckets = place(join(of, np.uint64)), join(buckets, np.int32)
+        order = np.argsort(of, kind="stable")
+        self.buckets, self.begin = buckets[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(known)))])
+        row, word, count = join(rows, np.int64), place(join(words, np.uint64)), join(counts, np.int64)
+        order = np.argsort(row, kind="stable")
+        bounds = np.searchsorted(row[order], np.arange(len(texts) + 1))
+        share = (count / (totals[row] + PADDING)).astype(np.float32)
+        self.rows = [(word[order[a:b]], share[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _sum(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -93,10 +139,10 @@ def _sum(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(which, weights=values[:, d], minlength=n) for d in range(values.shape[1])], axis=1)
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings (BUCKETS, DIMENSIONS; unseen buckets 0), softmax weights (DIMENSIONS, 2) and bias (2), by Adagrad."""
-    begin = np.frombuffer(known.begin, dtype=np.int64)
-    seen, place = np.unique(np.frombuffer(known.buckets, dtype=np.int32), return_inverse=True)
+    bags, begin = known.rows, known.begin
+    seen, place = np.unique(known.buckets, return_inverse=True)
     rng = np.random.Generator(np.random.PCG64(seed))
     scale = np.float32(8)  # of a text's mean, so that rates of usual size move it
     emb = (rng.random((len(seen), DIMENSIONS), dtype=np.float32) - 0.5) * np.float32(START / DIMENSIONS)
@@ -139,15 +185,14 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(what each bucket adds to the logit of class 1, the bias), fitted in one task on ``labelled``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, bags, labels, weights = Bags(), [], [], []
+        texts, labels, weights = [], [], []
         for part in parts:
-            for text, label, weight in zip(part["text"], part["label"], part["weight"], strict=True):
-                bags.append(known.bag(text or ""))
-                labels.append(label)
-                weights.append(weight)
+            texts += part["text"].tolist()
+            labels += part["label"].tolist()
+            weights += part["weight"].tolist()
         y, w = np.array(labels, dtype=np.int64), np.array(weights, dtype=np.float64)
         if len({*labels}) == 2:
-            emb, soft, bias = fit(bags, known, y, w)
+            emb, soft, bias = fit(Bags(texts), y, w)
             lift, base = emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
         else:
             lift, base = np.zeros(BUCKETS), 40.0 if labels and labels[0] == 1 else -40.0
@@ -160,29 +205,17 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return np.frombuffer(bytes(out[0]["lift"]), dtype="<f4"), out[0]["base"]
 
 
-class Weights(dict):
-    """A word's part in the logit; filled as words are met, each spelling from its lower case."""
-
-    def __init__(self, lift: np.ndarray):
-        super().__init__()
-        self.lift = array("f", lift.tobytes()).__getitem__
-
-    def __missing__(self, word: bytes) -> float:
-        plain = lower(word)
-        if plain != word:
-            x = self[plain]
-        else:
-            at = buckets(word)
-            x = sum(map(self.lift, at)) / len(at)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = x
-        return x
-
-
-def weights(lift: np.ndarray) -> Weights:
-    """The worker's memory of a model's words."""
-    return memory("toxicity", crc32(lift.tobytes()), lambda: Weights(lift))
+def logits(texts: list[str | None], lift: np.ndarray, base: float) -> np.ndarray:
+    """The logit of class 1 of each text: the mean over its words, and some blank ones, of the means of their buckets' parts."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for parts, rows in pieces(texts):
+        part, word, keys, owner, bucket = words_of(parts)
+        if len(keys):
+            value = np.bincount(owner, weights=lift[bucket]) / np.bincount(owner)
+            row = np.array(rows)[part]
+            total += np.bincount(row, weights=value[word], minlength=len(texts))
+            n += np.bincount(row, minlength=len(texts))
+    return base + total / (n + PADDING)
 
 
 def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -192,13 +225,10 @@ def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = weights(sent.value).__getitem__
-        for batch in batches:
-            logits = np.full(batch.num_rows, base)
-            for i, text in enumerate(batch.column(at)):
-                if text.is_valid and (words := text.as_buffer().to_pybytes().split()):
-                    logits[i] += sum(map(look, words)) / (len(words) + PADDING)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], names=names)
+        for whole in batches:
+            for batch in B.chunks(iter([whole]), at, 4 * STEP):
+                z = logits(batch.column(at).to_pylist(), sent.value, base)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=names)
 
     return docs.mapInArrow(run, docs.withColumn(score_col, F.lit(0.0)).schema)
 

@@ -461,18 +461,31 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, lift, base).count() == 0
 
 
-def test_toxic_words_of_any_script_and_case():
+def test_toxic_words_of_any_script_and_case(monkeypatch):
     """Character n-grams of every length, of letters in Unicode's lower case; a mark within a word is part of it."""
     assert toxicity.GRAMS == (4, 5, 6) and toxicity.SAMPLE == {1: 2500, 0: 4500}
-    weigh = toxicity.Weights(np.random.default_rng(0).random(toxicity.BUCKETS, dtype=np.float32))
-    for word in ("ÉLÈVE", "Straßenköter", "СЛОВО", "Plain", "sh*t", "ДУРАК!"):
-        plain = "<" + word.lower() + ">"
-        grams = {plain, *(plain[i : i + n] for n in (4, 5, 6) for i in range(len(plain) - n + 1))}
-        assert Counter(toxicity.buckets(word.lower().encode())) == Counter(zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams)
-        assert weigh[word.encode()] == weigh[word.lower().encode()]
-        one, other = toxicity.Bags(), toxicity.Bags()
-        one.bag(word), other.bag(word.lower())
-        assert one.buckets == other.buckets and Counter(one.buckets) == Counter(zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams)
+    texts = ["ÉLÈVE Straßenköter СЛОВО", "Plain sh*t ДУРАК! a", "plain\u00a0x PLAIN", "", None, "x" * 30 + " ÉLÈVE"]
+    words = [re.split("[ \t\n\v\f\r]+", t.lower()) if t else [] for t in texts]
+    lift = np.random.default_rng(0).random(toxicity.BUCKETS, dtype=np.float32)
+    one = {}
+    for w in {w for row in words for w in row}:
+        part, word, keys, owner, bucket = toxicity.words_of([w])
+        mark = f"<{w}>"
+        assert len(keys) == 1 and len(bucket) == 1 + sum(max(0, len(mark) - n + 1) for n in (4, 5, 6))
+        # Equal n-grams have equal buckets, wherever they stand; others nearly always have others.
+        grams = [mark[i : i + n] for n in (4, 5, 6) for i in range(len(mark) - n + 1)]
+        assert len(dict.fromkeys(zip(grams, bucket[1:].tolist()))) == len(set(grams))
+        one[w] = lift[bucket].mean()
+    want = [0.5 + sum(one[w] for w in row) / (len(row) + toxicity.PADDING) for row in words]
+    for step in (1 << 19, 7):
+        monkeypatch.setattr(toxicity, "STEP", step)
+        assert np.allclose(toxicity.logits(texts, lift, 0.5), want)
+        bags = toxicity.Bags(texts)
+        for (ids, shares), row in zip(bags.rows, words):
+            got = sum(s * lift[bags.buckets[bags.begin[i] : bags.begin[i + 1]]].mean() for i, s in zip(ids, shares))
+            assert abs(got - sum(one[w] for w in row) / (len(row) + toxicity.PADDING)) < 1e-5
+    first, second = (toxicity.words_of([w])[4][1:].tolist() for w in ("abcde", "xbcde"))
+    assert len(set(first) & set(second)) == len(["bcde", "cde>", "bcde>"])
 
 
 def test_chat_parsing():
