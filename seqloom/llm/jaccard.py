@@ -363,7 +363,8 @@ def sketches_allow(n_u: np.ndarray, n_v: np.ndarray, x: pa.Array, y: pa.Array, p
 
 def similar(left: Sets, right: Sets, percent: int) -> np.ndarray:
     """Whether row i of ``left`` is similar to row i of ``right``, exactly."""
-    shingles = np.unique(np.concatenate([left.shingles, right.shingles]))
+    shingles = np.sort(np.concatenate([left.shingles, right.shingles]))
+    shingles = shingles[np.append(True, shingles[1:] != shingles[:-1])[: len(shingles)]]
     place = lambda s: s.rows() * len(shingles) + np.searchsorted(shingles, s.shingles)
     common = np.bincount(left.rows()[np.isin(place(left), place(right), assume_unique=True)], minlength=len(left.sizes))
     return 100 * common >= percent * (left.sizes + right.sizes - common)

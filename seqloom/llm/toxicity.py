@@ -118,10 +118,13 @@ class Bags:
             rows.append(pair // max(1, len(keys)))
             words.append(keys[pair % max(1, len(keys))])
             counts.append(n)
-            new = ~np.isin(keys, known)[owner]
+            at = np.searchsorted(known, keys)
+            new = np.append(known, np.uint64(0))[at] != keys if len(known) else np.ones(len(keys), dtype=bool)
+            new |= at == len(known)
+            known = np.insert(known, at[new], keys[new])
+            new = new[owner]
             of.append(keys[owner[new]])
             buckets.append(bucket[new])
-            known = np.union1d(known, keys)
         join = lambda x, kind: np.concatenate([np.zeros(0, dtype=kind), *x])
         place = lambda x: np.searchsorted(known, x).astype(np.int32)
         of, buckets = place(join(of, np.uint64)), join(buckets, np.int32)
