@@ -8,6 +8,7 @@ cases of this modulus do not show.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +111,15 @@ def hash_runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system: later stages use the same workers, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in batches of about ``most`` bytes of a string column; a longer row stands alone."""
     held, size = [], 0
@@ -127,6 +137,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
                 held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+    give_back()
 
 
 def binary_column(parts: list[np.ndarray]) -> pa.Array:

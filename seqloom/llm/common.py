@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the bitmap that ``among`` broadcasts: 4 MB.
 BITS = 1 << 25
+#: Bytes of an Arrow batch, and Spark's setting for it.
+BATCH, _BATCH = 8_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's setting that ends the life of an execution's shuffle files with the execution.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -88,6 +90,13 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` bytes for this session, unless it says otherwise: Spark's own 64 MB, held in the JVM and in
+    Python by each task, are much beside long texts."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is sized for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

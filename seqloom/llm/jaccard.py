@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import among, cut, partitions, table
+from .common import among, bound_batches, cut, partitions, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -54,7 +54,7 @@ SIDE, SIDE_BYTES = 2048, 8_000_000
 NEAREST = 16
 #: Bands whose segments are measured: sets up to 65,535 shingles. Longer ones take their segments as they come.
 MEASURED = 16
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 #: Counters of the sketch that measures a segment's cost.
 SLOTS = 16
 _SALT = np.uint64(0xD1B54A32D192ED03)
@@ -493,6 +493,7 @@ def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_co
     """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach), tag (the text's xxhash64)."""
     if not 50 <= percent <= 100:
         raise ValueError("similarities from 50 to 100 percent are supported")
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = cut(profiles(docs, percent, width))
     rows = profile.where("what = 0")

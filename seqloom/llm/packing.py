@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, partitions, table
+from .common import bound_batches, cut, partitions, table
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -102,6 +102,7 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, order: tuple[str, ...] = ("
 def cut_documents(docs: DataFrame, *, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, and with ``keep_ids`` the ids themselves."""
     path = path or tokens.default_path()
+    bound_batches(docs.sparkSession)
     kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
 

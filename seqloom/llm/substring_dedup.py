@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import cut, partitions, table
+from .common import bound_batches, cut, partitions, table
 
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text that a task works on at once.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 _KINDS = ["<u8", "<u4", "<u4", "u1", "u1", "<u8", "<i8", "<u4"]
 #: Of these, what compresses: places and ids, as steps from one to the next.
 _STEPS = (1, 2, 3, 4, 6)
@@ -220,6 +220,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
     With ``keep_text`` the columns of ``docs`` come first, the text being what is kept (unchanged if nothing
     goes), and the factors come last. A column of ``docs`` named as one of these gives way to it.
     """
+    bound_batches(docs.sparkSession)
     out_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors"]
     found = duplicate_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window=window)
     found = found.groupBy("doc_id", "tag").agg(F.collect_list("value").alias("__runs")).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})

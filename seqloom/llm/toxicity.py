@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import crc_mod, cut, table
+from .common import bound_batches, crc_mod, cut, table
 
 #: Labelled rows of each class that are fitted on, at most.
 SAMPLE = {1: 2500, 0: 4500}
@@ -224,6 +224,7 @@ def logits(texts: list[str | None], lift: np.ndarray, base: float) -> np.ndarray
 def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in ``score_col``; a column that had this name gives way."""
     docs = docs.drop(score_col)
+    bound_batches(docs.sparkSession)
     at, names = docs.columns.index(text_col), [*docs.columns, score_col]
     sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 
