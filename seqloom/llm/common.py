@@ -71,8 +71,11 @@ def memory(operator: str, key, make):
     Workers are used again by later stages, so each holds one bounded memory and not one of each operator that ever ran.
     """
     if _memory.get("for") != (operator, key):
+        from .bytewise import give_back
+
         _memory.clear()
         gc.collect()
+        give_back()
         _memory.update({"for": (operator, key), "value": make()})
     return _memory["value"]
 
