@@ -6,9 +6,8 @@ import re
 
 from .common import memory
 
-#: Words, and parts of words, of a generation that a worker remembers, some 200 bytes each. When one is full, the one before it goes; what was
-#: met again meanwhile is in the new one.
-REMEMBERED = 80_000
+#: Words and parts of words remembered in a worker, some 200 bytes each; beyond it the memory is emptied and filled again.
+REMEMBERED = 500_000
 #: Letters whose lower case and normal form need no context, then marks that form one token run.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -27,9 +26,7 @@ class Words(dict):
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.parts_before: dict[str, bytes] = {}
 
     def _encode(self, part: str) -> bytes:
         import numpy as np
@@ -39,25 +36,19 @@ class Words(dict):
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts_before.get(part)
             if len(self.parts) >= REMEMBERED:
-                self.parts_before, self.parts = self.parts, {}
-            ids = self.parts[part] = self._encode(part) if ids is None else ids
+                self.parts.clear()
+            ids = self.parts[part] = self._encode(part)
         return ids
 
-    def _first(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
         if plain := _PLAIN.fullmatch(text):
             letters, marks = plain.groups()
-            return self._part(letters.lower()) + (self._part(marks) if marks else b"")
-        return self._encode(text)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.before.pop(word, None)
-        if ids is None:
-            ids = self._first(word)
+            ids = self._part(letters.lower()) + (self._part(marks) if marks else b"")
+        else:
+            ids = self._encode(text)
         if len(self) >= REMEMBERED:
-            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
