@@ -25,7 +25,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of which prefix sums are taken at once.
-STEP = 1 << 20
+STEP = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
