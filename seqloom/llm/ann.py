@@ -2,13 +2,15 @@
 
 Rows of equal vectors are one node, which keeps the ``k + 1`` smallest of their ids: no other can be among
 the ``k`` nearest of anything. So a vector that a third of all rows have is one node. Nodes are dealt to
-shards by a hash, and each shard gets a graph: nodes are inserted in blocks, a greedy search from the
+cells by the nearest of some centres, which are fitted on a bounded sample; a cell is one shard, or several by
+a hash if it is large, and each shard gets a graph: nodes are inserted in blocks, a greedy search from the
 entry points proposes neighbours, and relaxed pruning keeps an edge only if no kept neighbour is nearer to
 its end by more than a factor (``alpha``); reverse edges are added and pruned in the same way. The graphs are
 stored, one row a shard.
 
-Every query visits every shard, in blocks of queries: a beam search walks the graph, and what it
-finds is measured again in double precision on the original vectors. The best of all shards are ranked.
+Every query visits the shards of the cells nearest to it, in blocks of queries. How many cells that takes is measured:
+some queries are compared with all nodes, and ``REACH`` of their neighbours must lie in the cells visited. A beam search
+walks the graph, and what it finds is measured again in double precision on the original vectors. The best of all shards are ranked.
 
 Defined results: vectors that are null, zero, or have a null or non-finite component, and rows with a null
 id, take no part, neither as queries nor as candidates; vectors of different lengths never meet; rows of equal id
@@ -32,6 +34,10 @@ SHARD, DEGREE, BEAM_BUILD, BEAM, ALPHA = 8192, 24, 48, 96, 1.44
 ENTRIES, BLOCK, EXPAND = 32, 512, 4
 #: Queries that a shard is sent for at once, and pairs measured at once.
 QUERIES, PAIRS = 16384, 16384
+#: Vectors that centres are fitted on, and their bytes; rounds of the fit, vectors to a centre at least; rows multiplied at once.
+SAMPLE, SAMPLE_BYTES, ROUNDS, EACH, ROWS = 65536, 16_777_216, 6, 8, 256
+#: Queries that the number of cells to visit is measured with, and the share of their neighbours that must lie in these.
+MEASURED, REACH = 256, 0.98
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,9 +186,129 @@ def distinct_nodes(rows: DataFrame, keep: int) -> DataFrame:
     return some.groupBy("dim", "vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
-def index(nodes: DataFrame, n_shards: int) -> DataFrame:
-    """(dim, shard, vecs, graph, entries, ids, counts): a graph for each shard of nodes (dim, vec, ids)."""
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec"), F.lit(n_shards)).cast("int"))
+def matrix(vectors: list[bytes], dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=f"<f{len(vectors[0]) // dim}").reshape(-1, dim)
+
+
+def cosines(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of unit vectors to centres; rows come in blocks of one size, so that a row's figures don't depend on those beside it."""
+    padded = np.zeros((-(-len(x) // ROWS) * ROWS, x.shape[1]), dtype=np.float32)
+    padded[: len(x)] = x
+    return np.concatenate([padded[at : at + ROWS] @ centres.T for at in range(0, len(padded), ROWS)])[: len(x)]
+
+
+def hashed(seed: int, col: str, share: float):
+    """Whether a row belongs to the ``share`` of all rows that a hash chooses."""
+    return F.pmod(F.xxhash64(F.lit(seed), col), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
+def fit(nodes: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each dimension with more nodes than a shard holds, the centres of its cells."""
+    out = {}
+    for dim, n in sorted(counts.items()):
+        some = min(SAMPLE, SAMPLE_BYTES // (4 * dim), n)
+        n_cells = min(-(-n // min(2 * SHARD, max(SHARD, n // 64))), some // EACH)
+        if n_cells < 2:
+            continue
+        vecs = sorted(r[0] for r in nodes.where((F.col("dim") == dim) & hashed(5, "vec", some / n)).select("vec").collect())
+        if len(vecs) < 2:
+            continue
+        x = unit(matrix(vecs, dim))
+        centres = x[np.random.Generator(np.random.PCG64(7)).permutation(len(x))[:n_cells]].copy()
+        for _ in range(ROUNDS):
+            cell = np.concatenate([cosines(x[at : at + 8192], centres).argmax(axis=1) for at in range(0, len(x), 8192)])
+            order = np.argsort(cell, kind="stable")
+            have, firsts = np.unique(cell[order], return_index=True)
+            sums = np.add.reduceat(x[order].astype(np.float64), firsts, axis=0)
+            length = np.linalg.norm(sums, axis=1, keepdims=True)
+            ok = length[:, 0] > 0
+            centres[have[ok]] = (sums[ok] / length[ok]).astype(np.float32)
+        out[dim] = centres
+    return out
+
+
+def in_cells(nodes: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``nodes`` with ``cell``, that of the nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, vecs = batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
+            cell = np.zeros(len(vecs), dtype=np.int32)
+            for dim in np.unique(dims).tolist():
+                if dim in centres:
+                    at = np.flatnonzero(dims == dim)
+                    cell[at] = cosines(unit(matrix([vecs[i] for i in at], dim)), centres[dim]).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["dim", "vec", "ids", "cell"])
+
+    return nodes.mapInArrow(run, "dim int, vec binary, ids array<bigint>, cell int") if centres else nodes.withColumn("cell", F.lit(0))
+
+
+def visits(nodes: DataFrame, queries: DataFrame, n_queries: int, centres: dict[int, np.ndarray], k: int) -> dict[int, int]:
+    """For each dimension, the number of nearest cells that hold ``REACH`` of the ``k`` nearest nodes of some queries, by comparing these with all nodes."""
+    asked = {}
+    for dim, c in centres.items():
+        vecs = [r["vec"] for r in queries.where((F.col("dim") == dim) & hashed(6, "id", 4 * MEASURED / max(1, n_queries))).orderBy("id").limit(MEASURED).collect()]
+        if vecs:
+            q = unit(matrix(vecs, dim))
+            asked[dim] = (q, np.argsort(np.argsort(-cosines(q, c), axis=1, kind="stable"), axis=1).astype(np.int32))
+    if not asked:
+        return {dim: len(c) for dim, c in centres.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, vecs, cells = batch.column("dim").to_numpy(), batch.column("vec").to_pylist(), batch.column("cell").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim in asked:
+                    (q, place), at = asked[dim], np.flatnonzero(dims == dim)
+                    far = cosines(unit(matrix([vecs[i] for i in at], dim)), q).T.copy()
+                    far[far > 1 - 1e-6] = -2  # the query itself
+                    top = np.argpartition(-far, min(k, len(at)) - 1, axis=1)[:, :k]
+                    which = np.repeat(np.arange(len(q)), top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), dim, dtype=np.int32)), pa.array(which.astype(np.int32)), pa.array(far[which, top.ravel()].astype(np.float64)), pa.array(place[which, cells[at][top.ravel()]])], names=["dim", "q", "score", "place"])
+
+    nth = F.row_number().over(W.partitionBy("dim", "q").orderBy(F.col("score").desc(), "place"))
+    found = nodes.mapInArrow(run, "dim int, q int, score double, place int").where("score > -2").withColumn("nth", nth).where(F.col("nth") <= k).select("dim", "place").collect()
+    out = {}
+    for dim, c in centres.items():
+        places = sorted(r["place"] for r in found if r["dim"] == dim)
+        out[dim] = places[min(len(places) - 1, int(REACH * len(places)))] + 1 if places else len(c)
+    return out
+
+
+def to_shards(nodes: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]]]:
+    """``nodes`` with ``shard`` instead of ``cell``, and the first shard and number of shards of each (dim, cell): large cells are split by a hash."""
+    counts = sorted((r["dim"], r["cell"], r["count"]) for r in nodes.groupBy("dim", "cell").count().collect())
+    held, first = {}, {}
+    for dim, cell, n in counts:
+        parts = -(-n // (2 * SHARD))
+        held[dim, cell] = (first.get(dim, 0), parts)
+        first[dim] = first.get(dim, 0) + parts
+    rows = [(dim, cell, *x) for (dim, cell), x in held.items()]
+    where = nodes.sparkSession.createDataFrame(rows, "dim int, cell int, first int, parts int")
+    return nodes.join(F.broadcast(where), ["dim", "cell"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64(F.lit(3), "vec"), F.col("parts"))).cast("int")).drop("cell", "first", "parts"), held
+
+
+def route(queries: DataFrame, centres: dict[int, np.ndarray], most: dict[int, int], held: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """``queries(id, dim, vec)`` with each ``shard`` that it visits."""
+    shards = lambda dim, cells: [s for c in cells if (dim, c) in held for s in range(held[dim, c][0], sum(held[dim, c]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, vecs = batch.column("dim").to_numpy(), batch.column("vec").to_pylist()
+            asked = [[0]] * len(vecs)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                if dim in centres:
+                    near = np.argsort(-cosines(unit(matrix([vecs[i] for i in at], dim)), centres[dim]), axis=1, kind="stable")[:, : most[dim]].tolist()
+                for j, i in enumerate(at.tolist()):
+                    asked[i] = shards(dim, near[j] if dim in centres else [0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(asked, pa.list_(pa.int32()))], names=["id", "dim", "vec", "shards"])
+
+    return queries.select("id", "dim", "vec").mapInArrow(run, "id bigint, dim int, vec binary, shards array<int>").select("id", "dim", "vec", F.explode("shards").alias("shard"))
+
+
+def index(dealt: DataFrame) -> DataFrame:
+    """(dim, shard, vecs, graph, entries, ids, counts): a graph for each shard of nodes (dim, vec, ids, shard)."""
 
     def run(block: pa.Table) -> pa.Table:
         dim, shard = block.column("dim")[0].as_py(), block.column("shard")[0].as_py()
@@ -198,14 +324,14 @@ def index(nodes: DataFrame, n_shards: int) -> DataFrame:
     return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, vecs binary, graph binary, entries binary, ids binary, counts binary")
 
 
-def search(shards: DataFrame, n_shards: int, queries: DataFrame, k: int, *, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest that the shards' graphs give for ``queries`` (id, dim, vec)."""
-    groups = max(1, -(-queries.count() // QUERIES))
+def search(shards: DataFrame, asked: DataFrame, n_queries: int, k: int, *, beam: int = BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest that the shards' graphs give for ``asked`` (id, dim, vec, shard)."""
+    groups = max(1, -(-n_queries // QUERIES))
 
     def group(block: pa.Table) -> pa.Table:
         order = np.argsort(block.column("id").to_numpy(), kind="stable")
         vecs = block.column("vec").to_pylist()
-        return pa.table({"dim": pa.array(block.column("dim")[:1].to_pylist(), pa.int32()), "query_ids": pa.array([block.column("id").to_numpy()[order].astype("<i8").tobytes()], pa.binary()), "query_vecs": pa.array([b"".join(vecs[i] for i in order)], pa.binary())})
+        return pa.table({"dim": pa.array(block.column("dim")[:1].to_pylist(), pa.int32()), "shard": pa.array(block.column("shard")[:1].to_pylist(), pa.int32()), "query_ids": pa.array([block.column("id").to_numpy()[order].astype("<i8").tobytes()], pa.binary()), "query_vecs": pa.array([b"".join(vecs[i] for i in order)], pa.binary())})
 
     def near(x: np.ndarray, q: np.ndarray, own: np.ndarray, row: dict, graph: np.ndarray) -> tuple[np.ndarray, ...]:
         """For one block of queries: their ids, the ids found and the scores, ``k`` of each at most."""
@@ -240,9 +366,8 @@ def search(shards: DataFrame, n_shards: int, queries: DataFrame, k: int, *, beam
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
     # A shard is sent once for each QUERIES queries, never once for each block of them.
-    grouped = queries.withColumn("group", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups))).groupBy("dim", "group").applyInArrow(group, "dim int, query_ids binary, query_vecs binary")
-    asked = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    near_ = asked.join(shards, ["dim", "shard"]).select("dim", "vecs", "graph", "entries", "ids", "counts", "query_ids", "query_vecs").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    grouped = asked.withColumn("group", F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(groups))).groupBy("dim", "shard", "group").applyInArrow(group, "dim int, shard int, query_ids binary, query_vecs binary")
+    near_ = grouped.join(shards, ["dim", "shard"]).select("dim", "vecs", "graph", "entries", "ids", "counts", "query_ids", "query_vecs").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return near_.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -251,10 +376,15 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "v
     """The ``k`` nearest of every row whose id is divisible by ``every``, among all rows but itself."""
     rows = usable(vectors, id_col, vector_col)
     nodes = cut(distinct_nodes(rows, k + 1))
-    n_shards = max(1, -(-nodes.count() // SHARD))
-    shards = cut(index(nodes, n_shards))
+    counts = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().collect()}
+    centres = fit(nodes, counts)
     queries = cut(rows.where(F.pmod("id", F.lit(every)) == 0).distinct())
-    return search(shards, n_shards, queries, k)
+    n_queries = queries.count()
+    celled = in_cells(nodes, centres)
+    most = visits(celled, queries, n_queries, centres, k) if centres else {}
+    dealt, held = to_shards(celled)
+    shards = cut(index(dealt))
+    return search(shards, route(queries, centres, most, held), n_queries, k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

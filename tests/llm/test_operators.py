@@ -375,6 +375,23 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3)] and abs(got[2].score - 0.5**0.5) < 1e-15
 
 
+def test_queries_visit_near_shards_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.normal(size=(40, 16)), 60, axis=0) + 0.2 * rng.normal(size=(2400, 16))).astype(np.float32)
+    monkeypatch.setattr(ann, "SHARD", 64)
+    sent, pack = [], ann.route
+    monkeypatch.setattr(ann, "route", lambda *a: (sent.append(pack(*a)), sent[0])[1])
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect()
+    visited, unit = sent[0].select("shard").distinct().count(), ann.unit(x).astype(np.float64)
+    assert visited >= 20 and sent[0].count() < 0.5 * 48 * visited
+    hit = 0
+    for q in range(0, 2400, 50):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        hit += len({r.vec_id for r in got if r.query_id == q} & {*np.argsort(-cos)[:5].tolist()})
+    assert hit >= 0.9 * 5 * 48
+
+
 def test_mixing(spark, docs, none, rows):
     sizes = defaultdict(int)
     for _, t, _, s, *_ in rows:
