@@ -83,8 +83,14 @@ def kmer_classes(index: DataFrame) -> DataFrame:
 
 def validate(index: DataFrame) -> DataFrame:
     """One row: whether each k-mer has as many places as its reverse complement (both strands are indexed)."""
-    back = index.select(revcomp(F.col("kmer")).alias("kmer"), F.col("occ").alias("back_occ"))
-    return index.join(back, "kmer", "left").agg(F.count("*").alias("n_kmers"), F.sum("occ").alias("n_places"), F.count_if(~F.col("occ").eqNullSafe(F.col("back_occ"))).alias("n_unequal"))
+    back = revcomp(F.col("kmer"))
+    is_first = F.col("kmer") <= back
+    # Each k-mer meets its reverse complement in one group; one that is its own stands on both sides.
+    sides = index.select(F.least("kmer", back).alias("both"), F.when(is_first, F.col("occ")).alias("a"), F.when(~is_first | (F.col("kmer") == back), F.col("occ")).alias("b"), (F.col("kmer") == back).alias("own"))
+    met = sides.groupBy("both").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("own").alias("own"))
+    n, places = F.count("a") + F.count("b") - F.count_if("own"), F.coalesce(F.sum("a"), F.lit(0)) + F.coalesce(F.sum(F.when(~F.col("own"), F.col("b"))), F.lit(0))
+    unequal = F.coalesce(F.sum(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("a").isNotNull().cast("long") + F.col("b").isNotNull().cast("long"))), F.lit(0))
+    return met.agg(n.alias("n_kmers"), F.when(n > 0, places).alias("n_places"), unequal.cast("long").alias("n_unequal"))
 
 
 def prepared_counts(seqs: DataFrame) -> DataFrame:

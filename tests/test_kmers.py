@@ -105,3 +105,13 @@ def test_hit_expansion_reads_wanted_places_once(spark, tables, monkeypatch):
     m = seeding.maximal_matches(tables[0], by_chunks(tables), 14)
     assert rows(got) == rows(hits.expand(seeding.smems(m), m, queries.O.max_occ)) and got.count() > 2 and seen[0].count() < 2000
     assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symmetry_without_a_join(spark, tables):
+    bad = spark.createDataFrame([("AACC", 2), ("GGTT", 3), ("ACGT", 4), ("CCCC", 5), ("TTGG", 6), ("CCAA", 6)], "kmer string, occ bigint")
+    got = refindex.validate(bad)
+    assert got.first().asDict() == {"n_kmers": 6, "n_places": 26, "n_unequal": 3}
+    assert refindex.validate(bad.limit(0)).first().asDict() == {"n_kmers": 0, "n_places": None, "n_unequal": 0}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    places = by_chunks(tables)
+    assert queries.kmer_symmetry(spark, "").first().asDict() == {"n_kmers": places.select("kmer").distinct().count(), "n_places": places.count(), "n_unequal": 0}
