@@ -102,11 +102,16 @@ def shortest_specific(hist: Column, k: int = 14, step: int = 1, min_len: int = 2
     )
 
 
-def choose_strand(reads: DataFrame, index: DataFrame, k: int = 14) -> DataFrame:
-    """(read_id, occ_fwd, occ_rev, strand): 1 if the last k-mer of the reverse complement is found, and rarer than the read's own."""
+def end_kmers(reads: DataFrame, k: int = 14) -> DataFrame:
+    """(read_id, s, kmer): the last k-mer of each read (s 0) and of its reverse complement (1)."""
     ends = reads.select("read_id", F.col("seq")).where(F.length("seq") >= k)
     both = ends.select("read_id", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.substr(normal(F.col("seq")), F.length("seq") - (k - 1), F.lit(k)).alias("kmer")), F.struct(F.lit(1).alias("s"), F.substr(revcomp(normal(F.col("seq"))), F.length("seq") - (k - 1), F.lit(k)).alias("kmer")))).alias("x"))
-    met = both.select("read_id", "x.s", "x.kmer").join(index.select("kmer", "occ"), "kmer", "left")
+    return both.select("read_id", "x.s", "x.kmer")
+
+
+def choose_strand(reads: DataFrame, index: DataFrame, k: int = 14) -> DataFrame:
+    """(read_id, occ_fwd, occ_rev, strand): 1 if the last k-mer of the reverse complement is found, and rarer than the read's own."""
+    met = end_kmers(reads, k).join(index.select("kmer", "occ"), "kmer", "left")
     occ = met.groupBy("read_id").agg(F.coalesce(F.max(F.when(F.col("s") == 0, F.col("occ"))), F.lit(0)).alias("occ_fwd"), F.coalesce(F.max(F.when(F.col("s") == 1, F.col("occ"))), F.lit(0)).alias("occ_rev"))
     turn = (F.col("occ_rev") > 0) & ((F.col("occ_fwd") == 0) | (F.col("occ_rev") < F.col("occ_fwd")))
     return occ.withColumn("strand", turn.cast("int"))

@@ -115,3 +115,10 @@ def test_symmetry_without_a_join(spark, tables):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     places = by_chunks(tables)
     assert queries.kmer_symmetry(spark, "").first().asDict() == {"n_kmers": places.select("kmer").distinct().count(), "n_places": places.count(), "n_unequal": 0}
+
+
+def test_strand_choice_reads_ends_only(spark, tables, monkeypatch):
+    seen = watched(monkeypatch)
+    got = queries.strand_choice(spark, "")
+    index = by_chunks(tables).groupBy("kmer").count().withColumnRenamed("count", "occ")
+    assert rows(got) == rows(seeding.choose_strand(tables[0], index, 14)) and got.count() == 4 and seen[0].count() < 100
