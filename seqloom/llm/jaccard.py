@@ -14,8 +14,8 @@ squared frequencies of each segment's subsets), plus the index entries they need
 of a passage shared by many documents is used last, after the neighbourhoods of quiet segments.
 
 Equal sets are one node. Index blocks, dealt by hash, give lists of nodes with a common entry. In each list
-a leading node is compared with all others, and what is verified joins components; this is linear in a list's size.
-Lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, four to
+a leading node is compared with all others, and what is verified joins components; this is linear in a list's size, and
+all there is to do for a list of two. Longer lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, four to
 eight for each of them, and each flips its bit. Sketches of two sets differ in no more bits than the sets differ in shingles, and
 in little fewer, so nearly all pairs that are too far apart are ruled out for certain, in the block of the list that
 holds them. A round gives only the nearest open partners of each member, and only lists that had more go on to the next,
@@ -484,9 +484,9 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of lists that still hold several components."""
-    inside = members.join(labels, "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return cut(members.join(inside.where("low <> high").select("list_id"), "list_id", "left_semi"))
+    """The members of lists that still hold several components, after a leader was compared: of two members that is all."""
+    inside = members.join(labels, "node").groupBy("list_id").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    return cut(members.join(inside.where("low <> high AND size > 2").select("list_id"), "list_id", "left_semi"))
 
 
 def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -375,6 +375,29 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3)] and abs(got[2].score - 0.5**0.5) < 1e-15
 
 
+def test_lists_of_two_end_with_their_leader(spark, monkeypatch):
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 10), (3, 11), (3, 13)], "list_id bigint, node bigint")
+    labels = spark.createDataFrame([(10, 0), (11, 1), (12, 0), (13, 3)], "node bigint, component bigint")
+    assert {r.list_id for r in jaccard.still_open(members, labels).collect()} == {3}
+    # Chains of near copies, and texts that share half of their words: as brute force links them, with and without leaders.
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 10**6, 60).tolist() for _ in range(12)]
+    texts = []
+    for i, b in enumerate(base):
+        for step in range(4):
+            b = [*b[:-1], int(rng.integers(0, 10**6))] if step < 3 else b[:30] + base[i - 1][30:]
+            texts.append(" ".join(map(str, b)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    want[i] = want[j] = min(want[i], want[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == dict(enumerate(want)) and len(set(want)) < len(want)
+
+
 def test_queries_visit_near_shards_only(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = (np.repeat(rng.normal(size=(40, 16)), 60, axis=0) + 0.2 * rng.normal(size=(2400, 16))).astype(np.float32)
