@@ -68,6 +68,24 @@ def unpacked(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def repeated(values: list) -> list[np.ndarray]:
+    """Of packed anchors those whose hash stands more than once: keys, begin, count, distance, checks, ids, tags.
+
+    Others settle nothing. Hashes are looked at first, so a group is never unpacked as a whole.
+    """
+    keys = np.concatenate([np.frombuffer(v, dtype="<u8", count=int(np.frombuffer(v, dtype="<i8", count=1)[0]), offset=8 * len(_KINDS)) for v in values])
+    keys.sort()
+    keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for v in values:
+        own, row, begin, count, distance, checks, ids, tags = unpacked(v)
+        ok = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own if len(keys) else np.zeros(len(own), dtype=bool)
+        kept = (own[ok], begin[ok].astype(np.int64), count[ok].astype(np.int64), distance[ok].astype(np.int64), checks[np.repeat(ok, count)], ids[row[ok]], tags[row[ok]])
+        for held, x in zip(out, kept, strict=True):
+            held.append(x)
+    return [np.concatenate(x) for x in out]
+
+
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of words in rows that begin at ``first``: for each anchor its hash, row, first window (as a place among all
     words), number of windows, and distance from the first window; and a check number for each window."""
@@ -175,18 +193,21 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         sent = block.filter(block.column("doc_id").is_null()).column("value")
         out = [block.filter(block.column("doc_id").is_valid()).select(names)]
         if len(sent):
-            got = [unpacked(x.as_py()) for x in sent]
-            keys, begin, count, distance, checks = (np.concatenate([g[i] for g in got]) for i in (0, 2, 3, 4, 5))
-            ids, tags = (np.concatenate([g[i][g[1]] for g in got]) for i in (6, 7))
-            del got, sent
-            which, place, ref, ref_place = settle(keys, ids, begin.astype(np.int64), count.astype(np.int64), distance.astype(np.int64), checks)
-            if found := spans(ids[which], tags[which], place, ref, ref_place):
+            got = repeated([x.as_buffer() for x in sent])
+            del sent, block
+            which, place, ref, ref_place = settle(got[0], got[5], *got[1:5])
+            if found := spans(got[5][which], got[6][which], place, ref, ref_place):
                 out.append(pa.Table.from_batches([found]))
         return pa.concat_tables(out)
 
+    def gather(block: pa.Table) -> pa.Table:
+        out = look_up(block)
+        B.give_back()
+        return out
+
     sent = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("tag")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(send, "part int, doc_id bigint, tag bigint, value binary")
     # Kept, so that the index's shuffle is gone before texts are shuffled to meet their spans.
-    return cut(sent.groupBy("part").applyInArrow(look_up, "doc_id bigint, tag bigint, value binary"))
+    return cut(sent.groupBy("part").applyInArrow(gather, "doc_id bigint, tag bigint, value binary"))
 
 
 def parse(runs: np.ndarray, window: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:

@@ -375,6 +375,25 @@ def test_nearest_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 3)] and abs(got[2].score - 0.5**0.5) < 1e-15
 
 
+def test_only_repeated_anchors_are_unpacked():
+    rng = np.random.default_rng(4)
+    pool, blobs, rows = rng.integers(0, 2**63, 5000).astype(np.uint64), [], []
+    for _ in range(6):
+        keys, count = rng.choice(pool, 900), rng.integers(1, 6, 900)
+        own, ids = np.sort(rng.integers(0, 30, 900)), np.sort(rng.integers(0, 10**9, 30))
+        begin, distance, checks, tags = rng.integers(0, 10**6, 900), rng.integers(0, 9, 900), rng.integers(0, 2**63, count.sum()), rng.integers(0, 2**32, 30)
+        blobs.append(substring_dedup.packed(keys, own, begin, count, distance, checks, ids, tags))
+        ends = np.cumsum(count)
+        rows += [(k, b, c, d, tuple(checks[e - c : e].tolist()), ids[o], tags[o]) for k, b, c, d, e, o in zip(keys.tolist(), begin.tolist(), count.tolist(), distance.tolist(), ends.tolist(), own.tolist(), strict=True)]
+    often = Counter(r[0] for r in rows)
+    want = [r for r in rows if often[r[0]] > 1]
+    keys, begin, count, distance, checks, ids, tags = substring_dedup.repeated(blobs)
+    ends = np.cumsum(count)
+    assert [(k, b, c, d, tuple(checks[e - c : e].tolist()), i, t) for k, b, c, d, e, i, t in zip(keys.tolist(), begin.tolist(), count.tolist(), distance.tolist(), ends.tolist(), ids, tags, strict=True)] == want
+    assert 0 < len(want) < len(rows)
+    assert all(len(x) == 0 for x in substring_dedup.repeated([substring_dedup.packed(*[np.arange(2)] * 3, np.ones(2), *[np.arange(2)] * 4)]))
+
+
 def test_lists_of_two_end_with_their_leader(spark, monkeypatch):
     members = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 10), (3, 11), (3, 13)], "list_id bigint, node bigint")
     labels = spark.createDataFrame([(10, 0), (11, 1), (12, 0), (13, 3)], "node bigint, component bigint")
