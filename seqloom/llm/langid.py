@@ -29,19 +29,25 @@ from .common import crc_mod, memory, table
 N, DIMENSIONS = 3, 512
 #: Characters of a block of texts, and n-grams of which counts are multiplied at once.
 BLOCK, PIECE = 400_000, 100_000
-#: n-grams whose vectors a worker keeps.
-REMEMBERED = 50_000
+#: n-grams whose vectors a worker keeps, and bits of the number of slots in which they are looked up.
+REMEMBERED, SLOT_BITS = 100_000, 21
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Encoder:
-    """Vectors of n-grams, made when first met; a worker keeps them."""
+    """Vectors of n-grams, made when first met; a worker keeps them, each in the place it was given then."""
 
     def __init__(self, n: int = N, dimensions: int = DIMENSIONS, seed: int = 5):
         self.n, self.dimensions, self.seed = n, dimensions, seed
         self.symbols = np.zeros(0x110000, dtype=np.int32)  # 0: not met; 1: blank
         self.letters: list[np.ndarray] = [self._random(0), self._random(0)]
-        self.known = np.zeros(0, dtype=np.int64)
-        self.vectors = np.zeros((0, dimensions), dtype=np.float32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.vectors = np.zeros((1024, self.dimensions), dtype=np.int8)
+        self.slot_grams = np.full(1 << SLOT_BITS, -1, dtype=np.int64)  # the n-gram last looked up in a slot, and its place
+        self.slot_places = np.zeros(1 << SLOT_BITS, dtype=np.int32)
 
     def _random(self, code: int) -> np.ndarray:
         return np.random.Generator(np.random.PCG64([self.seed, code])).integers(0, 2, self.dimensions, dtype=np.int8) * np.int8(2) - np.int8(1)
@@ -78,35 +84,63 @@ class Encoder:
         same = rows[:n] == rows[self.n - 1 :]
         return rows[:n][same], grams[same], lettered
 
-    def _bind(self, gram: int) -> np.ndarray:
-        out = np.ones(self.dimensions, dtype=np.int8)
+    def _bind(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones((len(grams), self.dimensions), dtype=np.int8)
         for i in range(self.n):
-            out = out * np.roll(self.letters[gram >> 20 * (self.n - 1 - i) & 0xFFFFF], self.n - 1 - i)
-        return out.astype(np.float32)
+            back = self.n - 1 - i
+            letters, which = np.unique(grams >> 20 * back & 0xFFFFF, return_inverse=True)
+            out *= np.roll(np.stack([self.letters[x] for x in letters]), back, axis=1)[which]
+        return out
 
-    def bundle(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A vector for each text, exact whole numbers, and whether it has a letter."""
+    def _learn(self, grams: np.ndarray) -> None:
+        """Vectors for n-grams that have none: each is written once, and those that are there stay where they are."""
+        first = len(self.known)
+        if first + len(grams) > len(self.vectors):
+            more = max(len(self.vectors), first + len(grams) - len(self.vectors))
+            self.vectors = np.concatenate([self.vectors, np.zeros((more, self.dimensions), dtype=np.int8)])
+        self.vectors[first : first + len(grams)] = self._bind(grams)
+        self.known.update(zip(grams.tolist(), range(first, first + len(grams)), strict=True))
+
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        """Where the vector of each n-gram is; n-grams that share a slot are told apart, and the one last met has it."""
+        slot = (grams.view(np.uint64) * _ODD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        missed = np.flatnonzero(self.slot_grams[slot] != grams)
+        if len(missed):
+            distinct, which = np.unique(grams[missed], return_inverse=True)
+            new = np.array([g for g in distinct.tolist() if g not in self.known], dtype=np.int64)
+            if len(new) and len(self.known) + len(new) > REMEMBERED and self.known:  # scripts with many letters: begin anew
+                self._forget()
+                return self._places(grams)
+            if len(new):
+                self._learn(new)
+            places = np.array([self.known[g] for g in distinct.tolist()], dtype=np.int32)
+            out = self.slot_places[slot]
+            out[missed] = places[which]
+            self.slot_grams[slot[missed]] = grams[missed]
+            self.slot_places[slot[missed]] = out[missed]
+            return out
+        return self.slot_places[slot]
+
+    def bundle(self, texts: list[str], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A vector for each text, exact whole numbers, and whether it has a letter; with ``groups``, the
+        number of each text's group, a vector for each group: that of its n-grams as if they were one text's."""
         rows, grams, lettered = self._ngrams(texts)
-        out = np.zeros((len(texts), self.dimensions), dtype=np.float32)
+        if groups is not None:
+            rows = groups[rows]
+        count = len(texts) if groups is None else int(groups.max(initial=-1)) + 1
+        kind = np.float32 if len(grams) < 1 << 24 else np.float64  # whole numbers stay exact
+        out = np.zeros((count, self.dimensions), dtype=kind)
         for at in range(0, len(grams), PIECE):
-            first, last = rows[at], rows[min(at + PIECE, len(grams)) - 1]
-            distinct, which = np.unique(grams[at : at + PIECE], return_inverse=True)
+            places, row = self._places(grams[at : at + PIECE]), rows[at : at + PIECE]
+            first, last = row.min(), row.max()
+            distinct = np.flatnonzero(np.bincount(places, minlength=len(self.known)))
+            column = np.zeros(len(self.known), dtype=np.int64)
+            column[distinct] = np.arange(len(distinct))
             shape = (last - first + 1, len(distinct))
-            counts = np.bincount((rows[at : at + PIECE] - first) * shape[1] + which, minlength=shape[0] * shape[1])
-            out[first : last + 1] += counts.reshape(shape).astype(np.float32) @ self._vectors(distinct)
+            counts = np.bincount((row - first) * shape[1] + column[places], minlength=shape[0] * shape[1])
+            out[first : last + 1] += counts.reshape(shape).astype(kind) @ self.vectors[distinct].astype(kind)
         return out, lettered
 
-    def _vectors(self, distinct: np.ndarray) -> np.ndarray:
-        new = distinct[~np.isin(distinct, self.known, assume_unique=True)]
-        if len(new):
-            if len(self.known) > REMEMBERED:  # scripts with many letters: begin anew
-                self.known, self.vectors, new = self.known[:0], self.vectors[:0], distinct
-            known = np.concatenate([self.known, new])
-            order = np.argsort(known, kind="stable")
-            self.vectors = np.concatenate([self.vectors, np.stack([self._bind(int(g)) for g in new])])[order]
-            self.known = known[order]
-        return self.vectors[np.searchsorted(self.known, distinct)]
-
 
 def encoder() -> Encoder:
     """The worker's memory of n-grams."""
@@ -134,10 +168,11 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in blocks(texts):
-                vectors, _ = known.bundle([texts[i] for i in at])
-                for vector, i in zip(vectors, at, strict=True):
-                    have = sums.get(langs[i])
-                    sums[langs[i]] = vector.astype(np.int64) if have is None else have + vector.astype(np.int64)
+                here: dict[str, int] = {}
+                groups = np.array([here.setdefault(langs[i], len(here)) for i in at])
+                vectors, _ = known.bundle([texts[i] for i in at], groups)  # n-grams are counted by language and multiplied once
+                for vector, lang in zip(vectors.astype(np.int64), here, strict=True):
+                    sums[lang] = sums[lang] + vector if lang in sums else vector
         places = range(known.dimensions)
         for lang, vector in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * known.dimensions), pa.array(places, pa.int32()), pa.array(vector, pa.int64())], names=["lang", "place", "value"])

@@ -492,6 +492,23 @@ def test_bundles_are_sums_of_bound_letters():
     assert (vectors[0] == sum(map(gram, ["abc", "bca", "ca "]))).all() and (vectors[2] == sum(map(gram, ["b b", " b "]))).all()
 
 
+def test_new_ngrams_leave_remembered_vectors_in_place(monkeypatch):
+    e = langid.Encoder(3, 64)
+    e.bundle(["abca"])
+    places, kept = dict(e.known), e.vectors
+    e.bundle(["xyz abd"])
+    assert e.vectors is kept and len(e.known) > len(places) and places.items() <= e.known.items()
+    texts = ["".join(chr(97 + (i * i + k) % 23) for i in range(k)) for k in range(3, 90)]
+    want = np.concatenate([langid.Encoder(3, 64).bundle([t])[0] for t in texts])
+    groups = np.arange(len(texts)) % 4
+    for limit, bits in ((100_000, 1), (40, 21), (1, 2)):  # n-grams that share slots; a memory that is emptied again and again
+        monkeypatch.setattr(langid, "REMEMBERED", limit)
+        monkeypatch.setattr(langid, "SLOT_BITS", bits)
+        e = langid.Encoder(3, 64)
+        assert (np.concatenate([e.bundle([t])[0] for t in texts]) == want).all() and (e.bundle(texts)[0] == want).all()
+        assert (e.bundle(texts, groups)[0] == [want[groups == g].sum(axis=0) for g in range(4)]).all()
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     bad = ["stupidhead", "nastyface", "horridness"]
