@@ -15,8 +15,8 @@ of a passage shared by many documents is used last, after the neighbourhoods of
 
 Equal sets are one node. Index blocks, dealt by hash, give lists of nodes with a common entry. In each list
 a leading node is compared with all others, and what is verified joins components; this is linear in a list's size, and
-all there is to do for a list of two. Longer lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, four to
-eight for each of them, and each flips its bit. Sketches of two sets differ in no more bits than the sets differ in shingles, and
+all there is to do for a list of two. Longer lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, two to
+four for each of them, and each flips its bit. Sketches of two sets differ in no more bits than the sets differ in shingles, and
 in little fewer, so nearly all pairs that are too far apart are ruled out for certain, in the block of the list that
 holds them. A round gives only the nearest open partners of each member, and only lists that had more go on to the next,
 which gives more of them; so what large groups of near copies have in common is joined by few links a node and
@@ -57,6 +57,9 @@ MEASURED = 16
 CHUNK = 2_000_000
 #: Counters of the sketch that measures a segment's cost.
 SLOTS = 16
+#: Bits of an index entry's key that are sent beside its part, and bytes of an entry with the bit before them. Entries that differ
+#: only in what isn't sent share a list: that makes candidates, and no link.
+KEY_BITS, ENTRY_BYTES = 39, 5
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -97,8 +100,9 @@ class Sets:
         return np.where(self.sizes > 0, out, 0).astype(np.uint64).view(np.int64)
 
     def sketches(self) -> pa.Array:
-        """Parities of the shingles that fall on each bit, in as many bytes as a set's band has shingles at least."""
-        widths = np.where(self.sizes > 0, 1 << np.maximum(band_of(np.maximum(self.sizes, 1)), 0), 0)
+        """Parities of the shingles that fall on each bit, in half as many bytes as a set's band has shingles at least, or in as many if they are eight or fewer."""
+        least = 1 << np.maximum(band_of(np.maximum(self.sizes, 1)), 0)
+        widths = np.where(self.sizes > 0, np.maximum(least // 2, np.minimum(least, 8)), 0)
         begin = np.concatenate([[0], np.cumsum(widths)])
         row = self.rows()
         at = begin[:-1][row] * 8 + (B.mix(self.shingles) & (8 * widths[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -242,6 +246,31 @@ def entries(sets: Sets, order: dict[int, np.ndarray], percent: int) -> tuple[np.
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def dealt_entries(keys: np.ndarray, row: np.ndarray, nodes: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, entries): in each part a node's entries follow each other, and the first of them is marked, so that a node is named once."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(part * len(nodes) + row, kind="stable")
+    part, row = part[by], row[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+    codes = keys[by] & np.uint64((1 << KEY_BITS) - 1) | new.astype(np.uint64) << np.uint64(KEY_BITS)
+    sent = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ENTRY_BYTES]
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        mine = slice(bounds[p], bounds[p + 1])
+        yield p, B.blob(sent[mine].ravel(), nodes[row[mine][new[mine]]])
+
+
+def met_entries(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and node of every entry that was sent to a part."""
+    got = [B.unblob(x, ["u1", "<i8"]) for x in values]
+    codes = np.zeros((sum(len(g[0]) for g in got) // ENTRY_BYTES, 8), dtype=np.uint8)
+    codes[:, :ENTRY_BYTES] = np.concatenate([g[0] for g in got]).reshape(-1, ENTRY_BYTES)
+    codes = codes.view("<u8").ravel()
+    nodes = np.concatenate([g[1] for g in got])
+    return codes & np.uint64((1 << KEY_BITS) - 1), nodes[np.cumsum(codes >> np.uint64(KEY_BITS), dtype=np.int64) - 1]
+
+
 def profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """A row a document (what 0: doc_id, n, node, sketch, tag) and the counters of segments (what 1: doc_id is the key, n the count)."""
 
@@ -282,20 +311,11 @@ def lists(docs: DataFrame, order: dict[int, np.ndarray], percent: int, width: in
             nodes, own = np.unique(sets.nodes(), return_index=True)
             own, nodes = own[nodes != 0], nodes[nodes != 0]
             keys, row = entries(sets.take(own), sent_order.value, percent)
-            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            keys, row, bounds = keys[by], row[by], np.searchsorted(part[by], np.arange(parts + 1))
-            to = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
-            out = []
-            for p in to:
-                mine, local = np.unique(row[bounds[p] : bounds[p + 1]], return_inverse=True)
-                out.append(B.blob(keys[bounds[p] : bounds[p + 1]], local.astype("<u4"), nodes[mine]))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["part", "value"])
+            to = dict(dealt_entries(keys, row, nodes, parts))
+            yield pa.RecordBatch.from_arrays([pa.array(list(to), pa.int32()), pa.array(list(to.values()), pa.binary())], names=["part", "value"])
 
     def gather(block: pa.Table) -> pa.Table:
-        got = [B.unblob(x.as_py(), ["<u8", "<u4", "<i8"]) for x in block.column("value")]
-        keys, nodes = np.concatenate([g[0] for g in got]), np.concatenate([g[2][g[1]] for g in got])
-        del got
+        keys, nodes = met_entries([x.as_py() for x in block.column("value")])
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         several = np.zeros(len(keys), dtype=bool)

@@ -509,6 +509,26 @@ def test_new_ngrams_leave_remembered_vectors_in_place(monkeypatch):
         assert (e.bundle(texts, groups)[0] == [want[groups == g].sum(axis=0) for g in range(4)]).all()
 
 
+def test_index_entries_and_sketches_are_small():
+    """Five bytes an entry, and eight a node in each part that has one of its entries; two to four bits of sketch a shingle."""
+    r = np.random.default_rng(3)
+    nodes = r.integers(-(2**63), 2**63 - 1, 300)
+    keys, row = r.integers(0, 2**64 - 1, 40_000, dtype=np.uint64), r.integers(0, 300, 40_000)
+    keys[:500] = keys[500:1000]  # entries of several nodes
+    sent = list(jaccard.dealt_entries(keys, row, nodes, 7))
+    part = [int(k >> np.uint64(32)) * 7 >> 32 for k in keys]
+    assert sum(len(value) for _, value in sent) <= 5 * len(keys) + 8 * len({*zip(part, row.tolist(), strict=True)}) + 16 * len(sent)
+    got = sorted((p, k, n) for p, value in sent for k, n in zip(*(x.tolist() for x in jaccard.met_entries([value])), strict=True))
+    assert got == sorted(zip(part, (keys & np.uint64(2**39 - 1)).tolist(), nodes[row].tolist(), strict=True))
+    both = jaccard.met_entries([sent[0][1], sent[1][1]])
+    assert all((np.concatenate(z) == x).all() for x, z in zip(both, zip(jaccard.met_entries([sent[0][1]]), jaccard.met_entries([sent[1][1]]), strict=True), strict=True))
+    assert list(jaccard.dealt_entries(keys[:0], row[:0], nodes[:0], 7)) == []
+    sizes = np.array([0, 1, 3, 8, 15, 16, 31, 32, 500, 70_000])
+    made = jaccard.Sets(np.concatenate([np.sort(r.integers(0, 2**64 - 1, n, dtype=np.uint64)) for n in sizes]), np.concatenate([[0], np.cumsum(sizes)]))
+    widths = np.array([len(x.as_py()) for x in made.sketches()])
+    assert widths[:4].tolist() == [0, 1, 2, 8] and (8 * widths[5:] <= 4 * sizes[5:]).all() and (8 * widths[5:] >= 2 * sizes[5:]).all()
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     bad = ["stupidhead", "nastyface", "horridness"]
