@@ -80,6 +80,11 @@ def memory(operator: str, key, make):
     return _memory["value"]
 
 
+def forget(operator: str) -> None:
+    """For an operator that remembers nothing: drops what this worker remembers for another, which would lie beside its work."""
+    memory(operator, None, lambda: None)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, with underscores before it until no column has it."""
     taken = {c.lower() for c in columns}

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import among, bound_batches, cut, partitions, table
+from .common import among, bound_batches, cut, forget, partitions, table
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -275,6 +275,7 @@ def profiles(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """A row a document (what 0: doc_id, n, node, sketch, tag) and the counters of segments (what 1: doc_id is the key, n the count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("jaccard")
         names = ["what", "doc_id", "n", "node", "sketch", "tag"]
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in B.chunks(batches, 1, CHUNK):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import bound_batches, cut, partitions, table
+from .common import bound_batches, cut, forget, partitions, table
 
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text that a task works on at once.
@@ -156,6 +156,7 @@ def duplicate_spans(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     parts = 4 * partitions(docs.sparkSession)  # small groups: a task holds one at a time, in the JVM and in Python
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("substring_dedup")
         for batch in B.chunks(batches, 1, CHUNK):
             batch = batch.filter(batch.column(0).is_valid())
             data, rows = B.column_bytes(batch.column(1))

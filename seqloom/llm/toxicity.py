@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewise as B
-from .common import bound_batches, crc_mod, cut, table
+from .common import bound_batches, crc_mod, cut, forget, table
 
 #: Labelled rows of each class that are fitted on, at most.
 SAMPLE = {1: 2500, 0: 4500}
@@ -188,6 +188,7 @@ def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """(what each bucket adds to the logit of class 1, the bias), fitted in one task on ``labelled``."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget("toxicity")
         texts, labels, weights = [], [], []
         for part in parts:
             texts += part["text"].tolist()
@@ -229,6 +230,7 @@ def score(docs: DataFrame, lift: np.ndarray, base: float, *, text_col: str = "te
     sent = docs.sparkSession.sparkContext.broadcast(lift)  # BUCKETS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("toxicity")
         for whole in batches:
             for batch in B.chunks(iter([whole]), at, 4 * STEP):
                 z = logits(batch.column(at).to_pylist(), sent.value, base)

@@ -529,6 +529,15 @@ def test_index_entries_and_sketches_are_small():
     assert widths[:4].tolist() == [0, 1, 2, 8] and (8 * widths[5:] <= 4 * sizes[5:]).all() and (8 * widths[5:] >= 2 * sizes[5:]).all()
 
 
+def test_operators_without_memory_drop_what_others_remember():
+    from seqloom.llm import common
+
+    common.memory("tokens", "x", lambda: [1])
+    common.forget("jaccard")
+    assert common._memory == {"for": ("jaccard", None), "value": None}
+    assert common.memory("tokens", "x", lambda: [2]) == [2]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     bad = ["stupidhead", "nastyface", "horridness"]
