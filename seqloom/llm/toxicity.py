@@ -24,7 +24,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,33 +107,39 @@ class Bags:
     """Texts as distinct words with their shares in the text's mean; each word's buckets stand once in one array."""
 
     def __init__(self, texts: list[str | None]):
-        totals, rows, words, counts, of, buckets = np.zeros(len(texts)), [], [], [], [], []
-        known = np.zeros(0, dtype=np.uint64)
+        totals, rows, words, counts, sizes, buckets = np.zeros(len(texts)), [], [], [], [], []
+        known, numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # distinct words by hash, and which came first
         for parts, part_rows in pieces(texts):
             part, word, keys, owner, bucket = words_of(parts)
             row = np.array(part_rows)[part]
             totals += np.bincount(row, minlength=len(texts))
             pair, n = np.unique(row * len(keys) + word, return_counts=True)
-            rows.append(pair // max(1, len(keys)))
-            words.append(keys[pair % max(1, len(keys))])
-            counts.append(n)
             at = np.searchsorted(known, keys)
             new = np.append(known, np.uint64(0))[at] != keys if len(known) else np.ones(len(keys), dtype=bool)
             new |= at == len(known)
-            known = np.insert(known, at[new], keys[new])
-            new = new[owner]
-            of.append(keys[owner[new]])
-            buckets.append(bucket[new])
+            number = np.append(numbers, np.int32(0))[at]
+            number[new] = len(known) + np.arange(new.sum())
+            known, numbers = np.insert(known, at[new], keys[new]), np.insert(numbers, at[new], number[new])
+            rows.append((pair // max(1, len(keys))).astype(np.int32))
+            words.append(number[pair % max(1, len(keys))])
+            counts.append(n.astype(np.int32))
+            mine = np.flatnonzero(new[owner])
+            mine = mine[np.argsort(owner[mine], kind="stable")]
+            sizes.append(np.bincount(owner[mine], minlength=len(keys))[new])
+            buckets.append(bucket[mine])
         join = lambda x, kind: np.concatenate([np.zeros(0, dtype=kind), *x])
-        place = lambda x: np.searchsorted(known, x).astype(np.int32)
-        of, buckets = place(join(of, np.uint64)), join(buckets, np.int32)
-        order = np.argsort(of, kind="stable")
-        self.buckets, self.begin = buckets[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(known)))])
-        row, word, count = join(rows, np.int64), place(join(words, np.uint64)), join(counts, np.int64)
-        order = np.argsort(row, kind="stable")
-        bounds = np.searchsorted(row[order], np.arange(len(texts) + 1))
-        share = (count / (totals[row] + PADDING)).astype(np.float32)
-        self.rows = [(word[order[a:b]], share[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        place = np.empty(len(known), dtype=np.int32)
+        place[numbers] = np.arange(len(known), dtype=np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(join(sizes, np.int64)[numbers])])
+        self.buckets, done = np.empty(self.begin[-1], dtype=np.int32), 0
+        for k, n in enumerate(sizes):  # block by block, so that no index of all n-grams is made
+            to = self.begin[place[done : done + len(n)]]
+            self.buckets[np.repeat(to - (np.cumsum(n) - n), n) + np.arange(n.sum())] = buckets[k]
+            buckets[k], done = None, done + len(n)
+        row, word = join(rows, np.int32), place[join(words, np.int32)]  # texts come in their order
+        share = (join(counts, np.int32) / (totals[row] + PADDING)).astype(np.float32)
+        bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+        self.rows = [(word[a:b], share[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _sum(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -145,7 +150,10 @@ def _sum(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 def fit(known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings (BUCKETS, DIMENSIONS; unseen buckets 0), softmax weights (DIMENSIONS, 2) and bias (2), by Adagrad."""
     bags, begin = known.rows, known.begin
-    seen, place = np.unique(known.buckets, return_inverse=True)
+    place = np.zeros(BUCKETS, dtype=np.int32)
+    place[known.buckets] = 1
+    seen = np.flatnonzero(place)
+    place[seen] = np.arange(len(seen))
     rng = np.random.Generator(np.random.PCG64(seed))
     scale = np.float32(8)  # of a text's mean, so that rates of usual size move it
     emb = (rng.random((len(seen), DIMENSIONS), dtype=np.float32) - 0.5) * np.float32(START / DIMENSIONS)
@@ -163,7 +171,7 @@ def fit(known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) ->
             words, word = np.unique(words, return_inverse=True)
             sizes = (begin[words + 1] - begin[words])[:, None]
             of = np.repeat(np.arange(len(words)), sizes[:, 0])
-            ids = place[begin[words][of] + np.arange(len(of)) - (np.cumsum(sizes) - sizes[:, 0])[of]]
+            ids = place[known.buckets[begin[words][of] + np.arange(len(of)) - (np.cumsum(sizes) - sizes[:, 0])[of]]]
             vectors = _sum(of, emb[ids], len(words)) / sizes
             hidden = _sum(rows, vectors[word] * shares[:, None], len(at))
             logits = hidden @ soft + bias
@@ -187,23 +195,28 @@ def fit(known: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 3) ->
 def model(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """(what each bucket adds to the logit of class 1, the bias), fitted in one task on ``labelled``."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget("toxicity")
         texts, labels, weights = [], [], []
-        for part in parts:
-            texts += part["text"].tolist()
-            labels += part["label"].tolist()
-            weights += part["weight"].tolist()
+        for batch in batches:
+            for column, held in zip(("text", "label", "weight"), (texts, labels, weights), strict=True):
+                held += batch.column(column).to_pylist()
         y, w = np.array(labels, dtype=np.int64), np.array(weights, dtype=np.float64)
         if len({*labels}) == 2:
-            emb, soft, bias = fit(Bags(texts), y, w)
+            bags = Bags(texts)
+            texts.clear()  # the fit needs much memory and no text
+            B.give_back()
+            emb, soft, bias = fit(bags, y, w)
             lift, base = emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
+            del bags, emb
+            B.give_back()
         else:
             lift, base = np.zeros(BUCKETS), 40.0 if labels and labels[0] == 1 else -40.0
-        yield pd.DataFrame({"lift": [lift.astype("<f4").tobytes()], "base": [base]})
+        yield pa.RecordBatch.from_arrays([pa.array([lift.astype("<f4").tobytes()], pa.binary()), pa.array([base], pa.float64())], names=["lift", "base"])
 
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col("weight").cast("double"))
-    out = rows.repartition(1).sortWithinPartitions("id", "text").mapInPandas(run, "lift binary, base double").collect()
+    out = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "lift binary, base double").collect()
     if not out:  # no rows, so no task
         return np.zeros(BUCKETS, dtype="<f4"), -40.0
     return np.frombuffer(bytes(out[0]["lift"]), dtype="<f4"), out[0]["base"]

@@ -566,6 +566,20 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, lift, base).count() == 0
 
 
+def test_toxicity_bags_hold_no_index_of_all_ngrams():
+    """Cutting a sample into words holds less than four times what its buckets take."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 14))) for _ in range(400)) for _ in range(500)]
+    tracemalloc.start()
+    try:
+        bags = toxicity.Bags(texts)
+        assert tracemalloc.get_traced_memory()[1] < 4 * bags.buckets.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxic_words_of_any_script_and_case(monkeypatch):
     """Character n-grams of every length, of letters in Unicode's lower case; a mark within a word is part of it."""
     assert toxicity.GRAMS == (4, 5, 6) and toxicity.SAMPLE == {1: 2500, 0: 4500}
