@@ -15,7 +15,8 @@ of a passage shared by many documents is used last, after the neighbourhoods of
 
 Equal sets are one node. Index blocks, dealt by hash, give lists of nodes with a common entry. In each list
 a leading node is compared with all others, and what is verified joins components; this is linear in a list's size, and
-all there is to do for a list of two. Longer lists that then still hold several components are closed by parity sketches: a set's shingles are hashed to bits, two to
+all there is to do for a list of two. Longer lists that then still hold several components are merged where they have much the same
+nodes, and closed by parity sketches: a set's shingles are hashed to bits, two to
 four for each of them, and each flips its bit. Sketches of two sets differ in no more bits than the sets differ in shingles, and
 in little fewer, so nearly all pairs that are too far apart are ruled out for certain, in the block of the list that
 holds them. A round gives only the nearest open partners of each member, and only lists that had more go on to the next,
@@ -510,6 +511,30 @@ def still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(members.join(inside.where("low <> high AND size > 2").select("list_id"), "list_id", "left_semi"))
 
 
+def merged(members: DataFrame) -> DataFrame:
+    """(list_id, node) -> as many lists or fewer: nodes that share a list still share one.
+
+    Near copies share many lists of much the same nodes, and each list would compare and give their pairs once more. Lists that have
+    the same first node, the one of most lists, become one list, unless that has more pairs than they have together. This is
+    repeated while it saves a tenth of the members. Two lists of one number would only make more candidates, and no link.
+    """
+    before = members.count()
+    while before:
+        listed = members.groupBy("node").agg(F.count("*").alias("lists"))
+        firsts = members.join(listed, "node").groupBy("list_id").agg(F.max(F.struct("lists", "node")).alias("first"), F.count("*").alias("size"))
+        firsts = cut(firsts.select("list_id", F.col("first.node").alias("first"), "size"))
+        apart = firsts.groupBy("first").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"), F.count("*").alias("lists")).where("lists > 1")
+        one = members.join(firsts.join(apart.select("first"), "first", "left_semi"), "list_id").select("first", "node").distinct().groupBy("first").agg(F.count("*").alias("n"))
+        gains = apart.join(one, "first").where("n * n <= pairs").select("first", F.xxhash64(F.lit("merged"), "first").alias("into"))
+        into = firsts.join(gains, "first", "left").select("list_id", F.coalesce("into", "list_id").alias("into"))
+        members = cut(members.join(into, "list_id").select(F.col("into").alias("list_id"), "node").distinct())
+        now = members.count()
+        if 10 * now > 9 * before:
+            break
+        before = now
+    return members
+
+
 def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id that links reach), tag (the text's xxhash64)."""
     if not 50 <= percent <= 100:
@@ -527,6 +552,7 @@ def join(docs: DataFrame, *, percent: int = PERCENT, width: int = SHINGLE, id_co
         pairs = led(members.join(nodes.select("node", "lists"), "node").join(labels, "node"))
         labels = joined(labels, cut(verify(pairs, nodes, docs, percent, width)))
         members = still_open(members, labels)
+    members = merged(members)
     most = NEAREST
     while members.limit(1).count():
         blocks = dealt(members.join(labels, "node").join(nodes.select("node", "n"), "node")).join(nodes.select("node", "sketch"), "node")

@@ -206,6 +206,21 @@ def test_jaccard_gives_few_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(made) < 40 * 600  # of 180,000 pairs
 
 
+def test_jaccard_lists_of_much_the_same_nodes_are_one(spark):
+    """Near copies share many lists: they are closed once for the group, not once for each of its lists."""
+    rows = [(k, n) for k in range(40) for n in range(60) if (n * 7 + k) % 5]  # 40 lists of 48 out of 60 nodes
+    rows += [(100 + k, n) for k in range(3) for n in (200, 300 + 9 * k, *range(310 + 100 * k, 330 + 100 * k))]  # one node in common
+    got = defaultdict(set)
+    for r in jaccard.merged(spark.createDataFrame(rows, "list_id bigint, node bigint")).collect():
+        got[r.list_id].add(r.node)
+    old = defaultdict(set)
+    for k, n in rows:
+        old[k].add(n)
+    assert all(any(x <= y for y in got.values()) for x in old.values())  # no pair is lost
+    assert sorted(map(len, got.values())) == [22, 22, 22, 60] and {100, 101, 102} <= set(got)
+    assert jaccard.merged(spark.createDataFrame([], "list_id bigint, node bigint")).count() == 0
+
+
 def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
